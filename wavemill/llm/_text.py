@@ -40,8 +40,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
-    """Yields (first row, last row + 1, bytes, offsets) of whole rows, about ``limit`` bytes each; null counts as empty."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, most_rows: int = 1 << 20):
+    """Yields (first row, last row + 1, bytes, offsets) of whole rows, about ``limit`` bytes and ``most_rows`` each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -54,6 +54,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = min(hi, lo + most_rows)
         yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

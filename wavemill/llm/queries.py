@@ -4,13 +4,69 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavemill.llm import decontam, minhash
+from wavemill.llm import decontam, media, minhash, pieces, quality, rollup, warc
+from wavemill.llm._store import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(column: str, n: int):
+    """crc32 of an id's decimal text, modulo n."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), training=lambda c: remainder(c, 4) != 2)
+    scored = quality.score(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches: all documents; exact copies taken out but for the least id; texts whose runs of blanks and marks shrink counted anew; a repeat of the first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    one = docs.groupBy(F.sha2("text", 256).alias("name"), F.length("text").alias("characters")).agg(F.min("doc_id").alias("least"))
+    tidy = F.regexp_replace("text", r"([%&$#*!|])\1+", "$1")
+    base = docs.withColumn("tidy", F.when(tidy != F.col("text"), tidy)).withColumn("name", F.sha2("text", 256))
+    counted = rollup.count_tokens(base, "byte_bpe_50k").withColumn("characters", F.length("text").cast("long"))
+    counted = rollup.count_tokens(counted, "byte_bpe_50k", text="tidy", to="tidy_tokens").withColumn("tidy_characters", F.length("tidy").cast("long"))
+    counted = rollup.materialise(counted.select("doc_id", "source", "lang", "name", "tokens", "characters", "tidy_tokens", "tidy_characters").withColumn("tokenizer", F.lit("byte_bpe_50k")), "counted")
+    kept = one.select(F.col("least").alias("doc_id"))
+    again = counted.where("tidy_characters IS NOT NULL").join(kept, "doc_id", "left_semi")
+    totals = rollup.Rollup(spark, new_path(spark, "rollup"))
+    totals.commit("0-insert", rollup.signed(counted, 1))
+    totals.commit("1-copies", rollup.signed(counted.join(kept, "doc_id", "left_anti"), -1))
+    totals.commit("2-tidied", rollup.revised(again, again.drop("tokens", "characters").withColumnsRenamed({"tidy_tokens": "tokens", "tidy_characters": "characters"})))
+    totals.commit("0-insert", rollup.signed(counted, 1))
+    return totals.totals()
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark.read.parquet(path), keep_payload=False)
+    name = lambda c: F.regexp_extract(c, r"page:(-?\d+)$", 1)
+    number = lambda c: F.when(name(c) != "", name(c)).cast("long")
+    return found.select(
+        number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"), F.col("digest_ok").alias("verified"),
+    )
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store_texts(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode(pieces.encode(docs))
+    return out.select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.length(F.col("text").cast("binary")).cast("long").alias("n_bytes"),
+        F.sha2(F.array_join(F.col("pieces").cast("array<string>"), ","), 256).alias("pieces_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -24,7 +80,19 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
+    "op6_media_columns": op6_media_columns,
+    "op9_sentencepiece": op9_sentencepiece,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS top FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to, true AS verified FROM f""",
+}
