@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavemill.llm import decontam, media, minhash, pieces, quality, rollup, warc
+from wavemill.llm import decontam, lines, media, minhash, pieces, quality, rollup, warc
 from wavemill.llm._store import new_path
 
 
@@ -24,6 +24,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches: all documents; exact copies taken out but for the least id; texts whose runs of blanks and marks shrink counted anew; a repeat of the first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
@@ -81,6 +85,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
     "op6_media_columns": op6_media_columns,
