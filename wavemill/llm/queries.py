@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavemill.llm import decontam, lines, media, minhash, pieces, quality, rollup, warc
+from wavemill.llm import decontam, lines, lm, media, minhash, pieces, quality, rollup, warc
 from wavemill.llm._store import new_path
 
 
@@ -62,6 +62,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_texts(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), lambda c: remainder(c, 7) != 2)
+    return scored.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.decode(pieces.encode(docs))
@@ -89,6 +94,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
     "op6_media_columns": op6_media_columns,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_sentencepiece": op9_sentencepiece,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
