@@ -184,7 +184,7 @@ def encode_chunk(p: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     return row[who[order]], piece[order]
 
 
-def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 384 << 10) -> DataFrame:
     """docs with a column of sampled piece ids (array<int>); a column of that name is replaced.
 
     Null and empty texts give no pieces. The draw depends on seed, the key cast to string (null: its
