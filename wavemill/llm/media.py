@@ -383,10 +383,18 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mul
 
     def run(batches):
         for batch in batches:
+            keys, held, size = [], [], 0
             for key, t in zip(batch.column(0), batch.column(1), strict=True):
                 b = (t.as_py() or "").encode()
                 padded = b + b" " * (-len(b) % multiple or (multiple if not b else 0))
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], batch.column(0).type), pa.array([pack(padded, len(b))], pa.binary())], ["id", "media"])
+                keys.append(key.as_py())
+                held.append(pack(padded, len(b)))
+                size += len(held[-1])
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(held, pa.binary())], ["id", "media"])
+                    keys, held, size = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(held, pa.binary())], ["id", "media"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, media binary")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavemill.llm import decontam, lines, lm, media, minhash, pieces, quality, rollup, warc
+from wavemill.llm import decontam, licenses, lines, lm, media, minhash, pieces, quality, rollup, warc
 from wavemill.llm._store import new_path
 
 
@@ -88,6 +88,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand in directories by source and language."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return licenses.scan(docs).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
@@ -97,6 +103,7 @@ QUERIES = {
     "op7_lm_scoring": op7_lm_scoring,
     "op9_sentencepiece": op9_sentencepiece,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op10_license_scan": op10_license_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
