@@ -1,14 +1,523 @@
-"""The registered queries of the engine's own operators and their SQL twins."""
+"""The registered queries of the engine's own operators and their SQL twins.
+
+``events`` stands for event streams (user_id: unit, event_type: channel, value: amplitude), ``embeddings``
+for snippets (label: unit), ``orders`` and ``lineitem`` for large numeric series, ``part`` and
+``supplier`` for geometry.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from wavemill.functions import scalar as S
+from wavemill.operators import aggregates as A, joins as J, windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def stream(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, unit, ch, t, v) with time in microseconds."""
+    t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    return table(spark, sf, "events").select("event_id", F.col("user_id").alias("unit"), F.col("event_type").alias("ch"), t.alias("t"), F.col("value").alias("v"))
+
+
+def snippets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("unit"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+EV = "e AS (SELECT event_id, user_id AS unit, event_type AS ch, epoch_us(ts) AS t, value AS v FROM events)"
+SN = "s AS (SELECT vec_id, CAST(label AS BIGINT) AS unit, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+
+
+def register(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str | None = None):
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col, 6).alias(name or (c if isinstance(c, str) else "value"))
+
+
+# Detection -------------------------------------------------------------------------------------------------
+
+EXTREMA = f"""{EV}, w AS (SELECT *, max(v) OVER b AS mb, max(v) OVER a AS ma, lag(v) OVER o AS pv, lead(v) OVER o AS nv FROM e
+  WINDOW o AS (PARTITION BY unit ORDER BY t, event_id), b AS (PARTITION BY unit ORDER BY t, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
+  a AS (PARTITION BY unit ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+x AS (SELECT event_id, unit, ch, t, v FROM w WHERE v > mb AND v > ma AND pv IS NOT NULL AND nv IS NOT NULL)"""
+NMS = f"""{EXTREMA}, m AS (SELECT *, max(v) OVER (PARTITION BY unit ORDER BY t RANGE BETWEEN {6 * HOUR} PRECEDING AND {6 * HOUR} FOLLOWING) AS top FROM x),
+k AS (SELECT event_id, unit, ch, t, v FROM m WHERE v >= top - 1e-8)"""
+
+
+def peaks(spark, sf):
+    return W.local_extrema(stream(spark, sf), "unit", ["t", "event_id"], "v")
+
+
+@register(f"WITH {EXTREMA} SELECT event_id, unit, v FROM x")
+def detect_local_extrema(spark, sf):
+    return peaks(spark, sf).select("event_id", "unit", "v")
+
+
+@register(f"WITH {EXTREMA} SELECT event_id, unit, v FROM x WHERE v > 50")
+def detect_threshold(spark, sf):
+    return W.local_extrema(stream(spark, sf), "unit", ["t", "event_id"], "v", threshold=50.0).select("event_id", "unit", "v")
+
+
+@register(f"WITH {NMS} SELECT event_id, unit, t, v FROM k")
+def suppress_in_time(spark, sf):
+    return W.suppress_in_time(peaks(spark, sf), "unit", "t", "v", 6 * HOUR, chunk=7 * DAY).select("event_id", "unit", "t", "v")
+
+
+@register(f"""WITH {NMS}, s AS (SELECT unit, count(*) AS n, median(v) AS m FROM k GROUP BY unit), z AS (SELECT max(t) - min(t) AS span FROM k)
+SELECT CAST(row_number() OVER (ORDER BY unit) - 1 AS BIGINT) AS dense, unit, n, round(m, 6) AS median_amplitude, round(n / (span / 1e6), 9) AS rate FROM s, z""")
+def flagship_detection(spark, sf):
+    kept = W.suppress_in_time(peaks(spark, sf), "unit", "t", "v", 6 * HOUR, chunk=7 * DAY)
+    stats = A.unit_statistics(kept, "unit", "t", "v")
+    return W.dense_labels(stats, "unit").select("dense", "unit", "n", r6("median_amplitude"), F.round("rate", 9).alias("rate"))
+
+
+@register(f"""WITH {EV}, m AS (SELECT a.event_id, a.v, max(b.v) AS top FROM e a JOIN e b ON a.unit = b.unit AND b.t BETWEEN a.t - {HOUR} AND a.t + {HOUR} GROUP BY a.event_id, a.v)
+SELECT event_id, v FROM m WHERE v >= top - 1e-8""")
+def suppress_chunked_halo(spark, sf):
+    return W.suppress_in_time(stream(spark, sf), "unit", "t", "v", HOUR, chunk=2 * DAY).select("event_id", "v")
+
+
+# Sequences -------------------------------------------------------------------------------------------------
+
+
+@register(f"""WITH {EV} SELECT event_id, round(max(v) OVER w - min(v) OVER w, 6) AS rolling_range FROM e
+WINDOW w AS (PARTITION BY unit ORDER BY t, event_id ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)""")
+def rolling_range(spark, sf):
+    return W.rolling_range(stream(spark, sf), "unit", ["t", "event_id"], "v").select("event_id", r6("rolling_range"))
+
+
+@register("""WITH d AS (SELECT DISTINCT l_suppkey AS k, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS n FROM lineitem),
+g AS (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS g FROM d)
+SELECT k, min(n) AS first, max(n) AS last, count(*) AS size FROM g GROUP BY k, g""")
+def gaps_and_islands(spark, sf):
+    d = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("n"))
+    return W.islands(d, "k", "n")
+
+
+@register(f"""WITH {EV}, d AS (SELECT unit, t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) AS d FROM e)
+SELECT unit, count(d) AS n, CAST(min(d) AS BIGINT) AS least, CAST(max(d) AS BIGINT) AS most, round(median(d) / 1e6, 3) AS middle, round(quantile_cont(d, 0.9) / 1e6, 3) AS p90 FROM d GROUP BY unit""")
+def interval_distribution(spark, sf):
+    d = W.intervals(stream(spark, sf), "unit", ["t", "event_id"], "t")
+    return d.groupBy("unit").agg(F.count("interval").alias("n"), F.min("interval").alias("least"), F.max("interval").alias("most"), F.round(F.median("interval") / 1e6, 3).alias("middle"), F.round(F.percentile("interval", F.lit(0.9)) / 1e6, 3).alias("p90"))
+
+
+@register(f"""WITH {EV}, d AS (SELECT unit, t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) AS d FROM e),
+r AS (SELECT unit, count(*) AS n, count(*) FILTER (d < {HOUR}) AS violations FROM d GROUP BY unit)
+SELECT unit, n, violations, round(violations / n, 6) AS rate, CASE WHEN violations / n < 0.01 THEN 'keep' WHEN violations / n < 0.05 THEN 'drop_violations' WHEN violations / n < 0.75 THEN 'split' ELSE 'discard' END AS policy FROM r""")
+def refractory_policy(spark, sf):
+    return W.refractory_rates(stream(spark, sf), "unit", ["t", "event_id"], "t", HOUR).select("unit", "n", "violations", r6("rate"), "policy")
+
+
+@register(f"""WITH {EV}, g AS (SELECT *, CASE WHEN t - lag(t) OVER o > {DAY} THEN 1 ELSE 0 END AS new FROM e WINDOW o AS (PARTITION BY unit ORDER BY t, event_id)),
+q AS (SELECT *, CAST(sum(new) OVER (PARTITION BY unit ORDER BY t, event_id) AS BIGINT) AS run FROM g)
+SELECT unit, run, count(*) AS n, min(t) AS first, max(t) AS last FROM q GROUP BY unit, run""")
+def sessions(spark, sf):
+    return W.sessions(stream(spark, sf), "unit", ["t", "event_id"], "t", DAY).groupBy("unit", "run").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+@register(f"""WITH {EV} SELECT event_id, round(lag(v) OVER w - 2 * v + lead(v) OVER w, 6) AS second_difference FROM e WINDOW w AS (PARTITION BY unit ORDER BY t, event_id)""")
+def second_difference(spark, sf):
+    return W.second_difference(stream(spark, sf), "unit", ["t", "event_id"], "v").select("event_id", r6("second_difference"))
+
+
+@register(f"""WITH {EV} SELECT unit, count(*) AS n, round(regr_slope(v, (t - 1704067200000000) / 1e12), 6) AS slope FROM e GROUP BY unit""")
+def amplitude_trend(spark, sf):
+    e = stream(spark, sf).withColumn("x", (F.col("t") - 1704067200000000) / 1e12)
+    return W.trend(e, "unit", "x", "v").select("unit", "n", r6("slope"))
+
+
+@register(f"""WITH {EV}, r AS (SELECT unit, t, event_id, row_number() OVER (PARTITION BY unit ORDER BY v, event_id) AS r FROM e),
+d AS (SELECT unit, abs(lead(r) OVER (PARTITION BY unit ORDER BY t, event_id) - r) AS d FROM r)
+SELECT unit, count(*) AS n, round(1 - 3 * sum(d) / (count(*) * count(*) - 1), 6) AS xi FROM d GROUP BY unit HAVING count(*) > 1""")
+def rank_dependence(spark, sf):
+    return W.chatterjee_xi(stream(spark, sf), "unit", "t", "v", "event_id").select("unit", "n", r6("xi"))
+
+
+@register("""WITH b AS (SELECT CAST(floor(l_extendedprice / 5000) AS BIGINT) AS b, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'N') AS n FROM lineitem GROUP BY 1),
+c AS (SELECT sum(a) OVER (ORDER BY b) AS ca, sum(n) OVER (ORDER BY b) AS cn, sum(a) OVER () AS ta, sum(n) OVER () AS tn FROM b)
+SELECT round(max(abs(ca / ta - cn / tn)) * sqrt(max(ta + tn)), 6) AS ks FROM c""")
+def ks_of_counts(spark, sf):
+    l = table(spark, sf, "lineitem")
+    b = l.groupBy(F.floor(F.col("l_extendedprice") / 5000).alias("b")).agg(F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("a"), F.count(F.when(F.col("l_returnflag") == "N", 1)).alias("n"))
+    return W.ks_counts(b, "b", "a", "n").select(r6("ks"))
+
+
+@register(f"""WITH {EV}, o AS (SELECT unit, t >= lag(t) OVER (PARTITION BY unit ORDER BY event_id) AS ok FROM e) SELECT unit, coalesce(bool_and(ok), true) AS is_sorted FROM o GROUP BY unit""")
+def sort_check(spark, sf):
+    w = Window.partitionBy("unit").orderBy("event_id")
+    return stream(spark, sf).select("unit", (F.col("t") >= F.lag("t").over(w)).alias("ok")).groupBy("unit").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("is_sorted"))
+
+
+# Labels and ordering ---------------------------------------------------------------------------------------
+
+
+@register("""SELECT o_orderkey, CAST(CASE WHEN o_custkey % 7 = 0 THEN -1 ELSE dense_rank() OVER (PARTITION BY o_custkey % 7 = 0 ORDER BY o_custkey) - 1 END AS BIGINT) AS dense FROM orders""")
+def dense_relabel(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 == 0, -1).otherwise(F.col("o_custkey")).alias("label"))
+    return W.dense_labels(o, "label").select("o_orderkey", "dense")
+
+
+@register("""WITH m AS (SELECT p_brand AS unit, median(p_retailprice) AS z FROM part GROUP BY 1) SELECT unit, round(z, 6) AS z, CAST(row_number() OVER (ORDER BY z DESC, unit) - 1 AS BIGINT) AS rank FROM m""")
+def rank_units_by_depth(spark, sf):
+    m = table(spark, sf, "part").groupBy(F.col("p_brand").alias("unit")).agg(F.median("p_retailprice").alias("z"))
+    return W.rank_by_depth(m, "unit", "z").select("unit", r6("z"), "rank")
+
+
+@register("""WITH n AS (SELECT o_custkey AS unit, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderkey, CAST(CASE WHEN n.n >= 12 THEN unit ELSE -1 END AS BIGINT) AS label FROM orders JOIN n ON o_custkey = unit""")
+def clean_small_units(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("unit"))
+    return A.clean_small_units(o, "unit", 12).select("o_orderkey", "label")
+
+
+@register(f"""WITH {EV}, m AS (SELECT unit, median(v) AS m FROM e GROUP BY unit), s AS (SELECT e.event_id, e.unit, CAST(floor((v - m + 10) / 20) AS BIGINT) AS sub FROM e JOIN m USING (unit)),
+n AS (SELECT unit, sub, count(*) AS n FROM s GROUP BY ALL) SELECT event_id, s.unit, CASE WHEN n >= 3 THEN s.sub END AS sub FROM s JOIN n ON s.unit = n.unit AND s.sub = n.sub""")
+def superres_labels(spark, sf):
+    return A.superres_labels(stream(spark, sf), "unit", "v", 20.0, 3).select("event_id", "unit", "sub")
+
+
+# Aggregates ------------------------------------------------------------------------------------------------
+
+TPL = f"""{SN}, p AS (SELECT unit, unnest(range(len(x))) AS t, unnest(x) AS v FROM s), tm AS (SELECT unit, t, median(v) AS v, avg(v) AS m, count(*) AS n FROM p GROUP BY ALL)"""
+
+
+@register(f"WITH {TPL} SELECT unit, CAST(t AS BIGINT) AS t, round(v, 6) AS v, n FROM tm")
+def template_median(spark, sf):
+    return A.templates(snippets(spark, sf), "unit", "x").select("unit", "t", r6("v"), "n")
+
+
+@register(f"WITH {TPL} SELECT unit, CAST(t AS BIGINT) AS t, round(m, 6) AS v, n FROM tm")
+def template_mean(spark, sf):
+    return A.templates(snippets(spark, sf), "unit", "x", "mean").select("unit", "t", r6("v"), "n")
+
+
+@register(f"WITH {TPL} SELECT unit, round(max(v) - min(v), 6) AS ptp, max(n) AS n, round((max(v) - min(v)) * sqrt(max(n)), 6) AS snr FROM tm GROUP BY unit")
+def template_snr(spark, sf):
+    return A.template_snr(A.templates(snippets(spark, sf), "unit", "x"), "unit").select("unit", r6("ptp"), "n", r6("snr"))
+
+
+@register("""SELECT i AS label, count(l.label) AS n FROM range(15) r(i) LEFT JOIN embeddings l ON l.label = i GROUP BY i""")
+def counts_with_zeros(spark, sf):
+    return A.counts_with_zeros(table(spark, sf, "embeddings"), "label", 15)
+
+
+@register(f"WITH {EV}, m AS (SELECT unit, median(v) AS c FROM e GROUP BY unit) SELECT e.unit, round(median(abs(v - c)), 6) AS mad FROM e JOIN m USING (unit) GROUP BY e.unit")
+def median_absolute_deviation(spark, sf):
+    return A.mad(stream(spark, sf), ["unit"], "v").select("unit", r6("mad"))
+
+
+@register(f"WITH {EV}, m AS (SELECT ch, median(v) AS c FROM e GROUP BY ch) SELECT e.ch, round(median(abs(v - c)) * 1.4826, 6) AS noise FROM e JOIN m USING (ch) GROUP BY e.ch")
+def robust_noise_scale(spark, sf):
+    return A.mad(stream(spark, sf), ["ch"], "v", 1.4826).select("ch", r6("mad", "noise"))
+
+
+@register(f"WITH {EV}, c AS (SELECT ch, floor(t / {DAY}) AS k, sqrt(avg(v * v)) AS rms FROM e GROUP BY ALL) SELECT ch, round(median(rms), 6) AS rms, count(*) AS chunks FROM c GROUP BY ch")
+def chunked_rms(spark, sf):
+    return A.chunked_rms(stream(spark, sf), "ch", "t", "v", DAY).select("ch", r6("rms"), "chunks")
+
+
+@register(f"WITH {EV}, s AS (SELECT ch, avg(v) AS m, stddev_pop(v) AS s FROM e GROUP BY ch) SELECT event_id, round((v - m) / s, 6) AS z FROM e JOIN s USING (ch)")
+def standardise(spark, sf):
+    return A.standardise(stream(spark, sf), ["ch"], "v").select("event_id", r6("z"))
+
+
+RASTER = f"""{EV}, c AS (SELECT CAST(floor(v / 20) AS BIGINT) AS d, CAST(floor(t / {7 * DAY}) AS BIGINT) AS t, sum(v) AS total, count(*) AS n, avg(v) AS mean FROM e GROUP BY ALL)"""
+
+
+def cells(spark, sf):
+    return A.raster(stream(spark, sf), F.col("v") / 20, F.col("t") / (7 * DAY), "v")
+
+
+@register(f"WITH {RASTER} SELECT d, t, round(total, 6) AS total, n, round(mean, 6) AS mean FROM c")
+def raster(spark, sf):
+    return cells(spark, sf).select("d", "t", r6("total"), "n", r6("mean"))
+
+
+@register(f"WITH {RASTER} SELECT a.d, a.t, round(sum(exp(-pow(b.d - a.d, 2) / 8.0) * b.mean) / sum(exp(-pow(b.d - a.d, 2) / 8.0)), 6) AS smooth FROM c a JOIN c b ON a.t = b.t AND abs(a.d - b.d) <= 4 GROUP BY a.d, a.t")
+def raster_smoothed(spark, sf):
+    return A.smooth_raster(cells(spark, sf), 2.0, 4).select("d", "t", r6("smooth"))
+
+
+@register("SELECT l_suppkey AS unit, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS centre, round(sum(l_quantity), 4) AS mass FROM lineitem GROUP BY 1")
+def weighted_centroid(spark, sf):
+    c = A.weighted_centroids(table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "unit"), "unit", "l_quantity", ["l_extendedprice"])
+    return c.select("unit", F.round("l_extendedprice_centre", 4).alias("centre"), F.round("mass", 4).alias("mass"))
+
+
+@register(f"""WITH {EV}, q AS (SELECT unit, ch, avg(v) * sqrt(count(*)) AS snr, length(ch) AS z FROM e GROUP BY unit, ch)
+SELECT unit, round(sum(snr * z) / sum(snr), 6) AS centre, arg_max(ch, (snr, ch)) AS main FROM q GROUP BY unit""")
+def channel_snr_centre(spark, sf):
+    e = stream(spark, sf).withColumn("z", F.length("ch"))
+    return A.channel_snr(e, "unit", "ch", "v", "z")[1].select("unit", r6("centre"), "main")
+
+
+@register("SELECT label AS unit, median(CAST(embedding[1] AS DOUBLE)) AS x, median(CAST(embedding[2] AS DOUBLE)) AS z FROM embeddings GROUP BY label")
+def median_position(spark, sf):
+    return table(spark, sf, "embeddings").groupBy(F.col("label").alias("unit")).agg(F.median(F.col("embedding")[0].cast("double")).alias("x"), F.median(F.col("embedding")[1].cast("double")).alias("z"))
+
+
+@register(f"""WITH {EV}, f AS (SELECT value AS v FROM events), c AS (SELECT v, count(*) AS c FROM e GROUP BY v), r AS (SELECT v, sum(c) OVER (ORDER BY v) - (c - 1) / 2 AS rank FROM c),
+g AS (SELECT ch, sum(rank) AS r, count(*) AS m FROM e JOIN r USING (v) GROUP BY ch)
+SELECT round(12 / (sum(m) * (sum(m) + 1)) * sum(r * r / m) - 3 * (sum(m) + 1), 4) AS h, count(*) AS groups, CAST(sum(m) AS BIGINT) AS n FROM g""")
+def kruskal_wallis(spark, sf):
+    return A.kruskal(stream(spark, sf), "ch", "v").select(F.round("h", 4).alias("h"), "groups", F.col("n").cast("long").alias("n"))
+
+
+@register("""WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) a, quantile_cont(p_retailprice, 0.75) b, quantile_cont(p_size, 0.25) c, quantile_cont(p_size, 0.75) d FROM part)
+SELECT p_partkey FROM part, q WHERE p_retailprice BETWEEN a - 0.25 * (b - a) AND b + 0.25 * (b - a) AND p_size BETWEEN c - 0.25 * (d - c) AND d + 0.25 * (d - c)""")
+def iqr_outliers(spark, sf):
+    return A.iqr_filter(table(spark, sf, "part"), ["p_retailprice", "p_size"], 0.25).select("p_partkey")
+
+
+@register("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY ((CAST(o_orderkey AS HUGEINT) * 2654435761) % 2147483647), o_orderkey) AS r FROM orders) WHERE r <= 3""")
+def stratified_sample(spark, sf):
+    return A.sample_per_group(table(spark, sf, "orders"), "o_custkey", "o_orderkey", 3).select("o_orderkey", "o_custkey")
+
+
+# Joins -----------------------------------------------------------------------------------------------------
+
+
+def two_streams(spark, sf):
+    e = stream(spark, sf)
+    return e.where("ch = 'click'").select(F.col("event_id").alias("id_a"), F.col("unit").alias("ua"), F.col("t").alias("ta")), e.where("ch <> 'click'").select(F.col("event_id").alias("id_b"), F.col("unit").alias("ub"), F.col("t").alias("tb"))
+
+
+AB = f"{EV}, a AS (SELECT event_id AS id_a, unit AS ua, t AS ta FROM e WHERE ch = 'click'), b AS (SELECT event_id AS id_b, unit AS ub, t AS tb FROM e WHERE ch <> 'click')"
+
+
+@register(f"WITH {AB} SELECT id_a, id_b, tb - ta AS lag FROM a JOIN b ON ua = ub AND abs(ta - tb) <= {6 * HOUR}")
+def band_join(spark, sf):
+    a, b = two_streams(spark, sf)
+    return J.band_join(a, b, "ta", "tb", 6 * HOUR, [("ua", "ub")]).select("id_a", "id_b", (F.col("tb") - F.col("ta")).alias("lag"))
+
+
+@register(f"""WITH {AB}, h AS (SELECT count(*) AS tp FROM a WHERE EXISTS (SELECT 1 FROM b WHERE ua = ub AND abs(ta - tb) <= {6 * HOUR})), n AS (SELECT count(*) AS c FROM a),
+f AS (SELECT count(*) AS fp FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE ua = ub AND abs(ta - tb) <= {6 * HOUR}))
+SELECT tp AS true_positive, c - tp AS false_negative, fp AS false_positive, round(tp / (c + fp), 6) AS accuracy, round(tp / c, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM h, n, f""")
+def confusion_metrics(spark, sf):
+    a, b = two_streams(spark, sf)
+    c = J.confusion(a, b, "ta", "tb", 6 * HOUR, [("ua", "ub")])
+    return c.select("true_positive", "false_negative", "false_positive", r6("accuracy"), r6("recall"), r6("precision"))
+
+
+@register(f"""WITH {EV}, m AS (SELECT *, ch = 'click' AS s FROM e),
+q AS (SELECT unit, event_id, t, s, lag(s) OVER w AS ps, lag(t) OVER w AS pt, lag(event_id) OVER w AS pid FROM m WINDOW w AS (PARTITION BY unit ORDER BY t, s, event_id)),
+h AS (SELECT *, coalesce(ps <> s AND t - pt <= {12 * HOUR}, false) AS hit FROM q), l AS (SELECT *, coalesce(lead(hit) OVER (PARTITION BY unit ORDER BY t, s, event_id), false) AS more FROM h)
+SELECT unit, CASE WHEN s THEN pid ELSE event_id END AS id_a, CASE WHEN s THEN event_id ELSE pid END AS id_b, CASE WHEN s THEN t - pt ELSE pt - t END AS lag FROM l WHERE hit AND NOT more""")
+def agreement_runs(spark, sf):
+    e = stream(spark, sf).withColumn("id", F.col("event_id"))
+    return J.agreement(e.where("ch <> 'click'"), e.where("ch = 'click'"), "t", 12 * HOUR, "unit")
+
+
+@register(f"""WITH {AB}, p AS (SELECT CAST(round_even(CAST((tb - ta) AS DOUBLE) / {HOUR}, 0) AS BIGINT) AS lag FROM a JOIN b ON abs(tb - ta) < {10 * HOUR}), c AS (SELECT lag, count(*) AS n FROM p GROUP BY lag)
+SELECT i AS lag, coalesce(n, 0) AS n FROM range(-10, 11) r(i) LEFT JOIN c ON i = lag""")
+def cross_correlogram(spark, sf):
+    a, b = two_streams(spark, sf)
+    return J.correlogram(a, b, "ta", "tb", HOUR, 10)
+
+
+@register(f"""WITH {EV}, p AS (SELECT CAST(round_even(CAST((b.t - a.t) AS DOUBLE) / {HOUR}, 0) AS BIGINT) AS lag FROM e a JOIN e b ON a.event_id <> b.event_id AND abs(b.t - a.t) < {10 * HOUR}), c AS (SELECT lag, count(*) AS n FROM p GROUP BY lag)
+SELECT i AS lag, coalesce(n, 0) AS n FROM range(-10, 11) r(i) LEFT JOIN c ON i = lag""")
+def auto_correlogram(spark, sf):
+    e = stream(spark, sf)
+    return J.correlogram(e.select(F.col("event_id").alias("ia"), F.col("t").alias("ta")), e.select(F.col("event_id").alias("ib"), F.col("t").alias("tb")), "ta", "tb", HOUR, 10, F.col("ia") == F.col("ib"))
+
+
+@register("SELECT a.p_partkey, count(*) AS density FROM part a JOIN part b ON pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2) <= 9.0 GROUP BY 1")
+def radius_density(spark, sf):
+    return J.density(table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"], 3.0)
+
+
+CEN = f"{SN}, c AS (SELECT unit AS cu, median(x[1]) AS cx, median(x[2]) AS cz FROM s GROUP BY unit)"
+
+
+def centres(spark, sf):
+    s = snippets(spark, sf).select("vec_id", "unit", F.col("x")[0].alias("px"), F.col("x")[1].alias("pz"))
+    return s, s.groupBy(F.col("unit").alias("cu")).agg(F.median("px").alias("cx"), F.median("pz").alias("cz"))
+
+
+@register(f"""WITH {CEN}, d AS (SELECT vec_id, cu, sqrt(pow(x[1] - cx, 2) + pow(x[2] - cz, 2)) AS d FROM s, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cu) AS r FROM d)
+SELECT vec_id, cu, round(d, 6) AS distance FROM r WHERE r = 1""")
+def nearest_centroid(spark, sf):
+    s, c = centres(spark, sf)
+    d = F.sqrt(F.pow(F.col("px") - F.col("cx"), 2) + F.pow(F.col("pz") - F.col("cz"), 2))
+    return J.nearest(s, c, d, "vec_id", "cu").select("vec_id", "cu", r6("distance"))
+
+
+@register(f"""WITH {CEN}, d AS (SELECT a.cu AS unit, b.cu AS other, sqrt(pow(a.cx - b.cx, 2) + pow(a.cz - b.cz, 2)) AS d FROM c a JOIN c b ON a.cu <> b.cu),
+r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY d, other) AS r FROM d) SELECT unit, other, round(d, 6) AS distance, r AS rank FROM r WHERE r <= 3""")
+def centroid_neighbours(spark, sf):
+    _, c = centres(spark, sf)
+    a, b = c.toDF("unit", "ax", "az"), c.toDF("other", "bx", "bz")
+    d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("az") - F.col("bz"), 2))
+    return J.nearest(a, F.broadcast(b), d, "unit", "other", 3, on=F.col("unit") != F.col("other")).select("unit", "other", r6("distance"), "rank")
+
+
+CH = "n AS (SELECT s_suppkey AS c, s_nationkey AS x, s_acctbal AS z FROM supplier)"
+
+
+@register(f"WITH {CH} SELECT a.c, list_sort(list(b.c)) AS neighbours FROM n a JOIN n b ON pow(a.x - b.x, 2) + pow(a.z - b.z, 2) <= 90000.0 GROUP BY a.c")
+def neighbour_lists(spark, sf):
+    n = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c"), F.col("s_nationkey").alias("x"), F.col("s_acctbal").alias("z"))
+    other = n.toDF("c2", "x2", "z2")
+    return J.radius_join(n, other, ["x", "z"], ["x2", "z2"], 300.0).groupBy("c").agg(F.array_sort(F.collect_list("c2")).alias("neighbours"))
+
+
+@register(f"""WITH {CH}, o AS (SELECT a.c AS a, b.c AS b FROM n a JOIN n b ON pow(a.x - b.x, 2) + pow(a.z - b.z, 2) <= 90000.0) SELECT DISTINCT p.a, q.b FROM o p JOIN o q ON p.b = q.a""")
+def two_step_reach(spark, sf):
+    n = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("x"), F.col("s_acctbal").alias("z"))
+    one = J.radius_join(n, n.toDF("b", "x2", "z2"), ["x", "z"], ["x2", "z2"], 300.0).select("a", "b")
+    return one.join(one.toDF("b", "c"), "b").select("a", F.col("c").alias("b")).distinct()
+
+
+OV = "u AS (SELECT DISTINCT o_custkey % 40 AS unit, o_orderpriority || o_orderstatus AS ch FROM orders WHERE o_totalprice > 250000)"
+
+
+@register(f"WITH {OV}, k AS (SELECT unit, count(*) AS k FROM u GROUP BY unit) SELECT a.unit AS a, b.unit AS b, count(*) AS shared, round(count(*) / any_value(k), 6) AS fraction FROM u a JOIN u b ON a.ch = b.ch JOIN k ON k.unit = a.unit GROUP BY a.unit, b.unit")
+def channel_overlap(spark, sf):
+    u = table(spark, sf, "orders").where("o_totalprice > 250000").select((F.col("o_custkey") % 40).alias("a"), F.concat("o_orderpriority", "o_orderstatus").alias("ch")).distinct()
+    k = u.groupBy("a").agg(F.count("*").alias("k"))
+    return u.join(u.withColumnRenamed("a", "b"), "ch").groupBy("a", "b").agg(F.count("*").alias("shared")).join(k, "a").select("a", "b", "shared", r6(F.col("shared") / F.col("k"), "fraction"))
+
+
+@register(f"WITH {EV} SELECT event_id, t, v FROM e WHERE NOT (v >= 40 AND v < 60) UNION ALL SELECT event_id, t, 0.0 AS v FROM e WHERE v >= 40 AND v < 60 AND ch = 'view'")
+def range_upsert(spark, sf):
+    e = stream(spark, sf).withColumn("key", F.floor("v").cast("long"))
+    new = e.where("v >= 40 AND v < 60 AND ch = 'view'").withColumn("v", F.lit(0.0))
+    return J.upsert_range(e, new, "key", 40, 60).select("event_id", "t", "v")
+
+
+@register("""SELECT a.p_partkey, b.p_partkey AS moved FROM part a LEFT JOIN part b ON b.p_size = a.p_size + 1 AND b.p_retailprice = a.p_retailprice + 1""")
+def geometry_shift_match(spark, sf):
+    p = table(spark, sf, "part")
+    b = p.select(F.col("p_partkey").alias("moved"), (F.col("p_size") - 1).alias("x"), F.col("p_retailprice").alias("z"))
+    return p.join(b, (p.p_size == b.x) & (p.p_retailprice + 1 == b.z), "left").select("p_partkey", "moved")
+
+
+@register(f"""WITH {EV}, k AS (SELECT floor(t / {7 * DAY}) * {7 * DAY} AS kt, avg(v) AS kv FROM e GROUP BY 1),
+p AS (SELECT event_id, t, (SELECT (kt, kv) FROM k WHERE kt <= t ORDER BY kt DESC LIMIT 1) AS lo, (SELECT (kt, kv) FROM k WHERE kt >= t ORDER BY kt LIMIT 1) AS hi FROM e)
+SELECT event_id, round(CASE WHEN lo IS NULL THEN hi[2] WHEN hi IS NULL OR hi[1] = lo[1] THEN lo[2] ELSE lo[2] + (t - lo[1]) / (hi[1] - lo[1]) * (hi[2] - lo[2]) END, 5) AS y FROM p""", name="interpolated_lookup")
+def _interpolated(spark, sf):
+    e = stream(spark, sf)
+    k = e.groupBy((F.floor(F.col("t") / (7 * DAY)) * (7 * DAY)).alias("kt")).agg(F.avg("v").alias("kv"))
+    return J.interpolate(e.select("event_id", "t"), k, "t", "kt", "kv", "y").select("event_id", F.round("y", 5).alias("y"))
+
+
+# Sets ------------------------------------------------------------------------------------------------------
+
+CUST = "c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), d AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O')"
+for _name, _sql, _how in (("set_intersection", "INTERSECT", "intersect"), ("set_difference", "EXCEPT", "subtract"), ("set_union", "UNION", "union")):
+
+    def _set(spark, sf, how=_how):
+        o = table(spark, sf, "orders")
+        a, b = (o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k")) for s in "FO")
+        return getattr(a, how)(b).distinct()
+
+    register(f"WITH {CUST} SELECT k FROM c {_sql} SELECT k FROM d", _name)(_set)
+
+
+@register(f"WITH {CUST} SELECT count(*) = 0 AS subset FROM (SELECT k FROM c EXCEPT SELECT k FROM d)")
+def subset_test(spark, sf):
+    o = table(spark, sf, "orders")
+    a, b = (o.where(F.col("o_orderstatus") == s).select("o_custkey") for s in "FO")
+    return a.join(b, "o_custkey", "left_anti").agg((F.count("*") == 0).alias("subset"))
+
+
+@register("SELECT 'orders' AS origin, o_orderkey AS id, o_totalprice AS v FROM orders UNION ALL SELECT 'customer', c_custkey, c_acctbal FROM customer")
+def union_with_origin(spark, sf):
+    a = table(spark, sf, "orders").select(F.lit("orders").alias("origin"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
+    return a.unionByName(table(spark, sf, "customer").select(F.lit("customer").alias("origin"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v")))
+
+
+# Snippet features ------------------------------------------------------------------------------------------
+
+
+@register(f"WITH {SN} SELECT vec_id, round(list_max(x) - list_min(x), 6) AS ptp, round(list_min(x), 6) AS trough, CAST(list_position(x, list_max(x)) - 1 AS BIGINT) AS peak_at, CAST(abs(list_position(x, list_max(x)) - list_position(x, list_min(x))) AS BIGINT) AS lag, round(ln(-list_max(x) / list_min(x)), 6) AS log_ratio FROM s")
+def snippet_features(spark, sf):
+    return snippets(spark, sf).select("vec_id", r6(S.peak_to_peak("x"), "ptp"), r6(S.trough("x"), "trough"), S.argmax("x").cast("long").alias("peak_at"), S.peak_trough_lag("x").cast("long").alias("lag"), r6(S.peak_trough_log_ratio("x"), "log_ratio"))
+
+
+@register(f"WITH {SN} SELECT vec_id, [round(x[i], 6) for i in [1, 6, 11, 64]] AS picked FROM s")
+def channel_gather(spark, sf):
+    return snippets(spark, sf).select("vec_id", F.transform(S.gather("x", F.array(*map(F.lit, (0, 5, 10, 63)))), lambda v: F.round(v, 6)).alias("picked"))
+
+
+TA = f"{TPL}, ta AS (SELECT unit AS tu, list(v ORDER BY t) AS tv FROM tm GROUP BY unit)"
+
+
+def tpl_arrays(spark, sf):
+    return A.template_arrays(A.templates(snippets(spark, sf), "unit", "x"), "unit").toDF("tu", "tv")
+
+
+@register(f"""WITH {TA}, d AS (SELECT vec_id, tu, list_dot_product(x, tv) / sqrt(list_dot_product(x, x) * list_dot_product(tv, tv)) AS c FROM s, ta), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 9) DESC, tu) AS r FROM d)
+SELECT vec_id, tu, round(c, 6) AS cosine FROM r WHERE r = 1""")
+def cosine_reassign(spark, sf):
+    p = snippets(spark, sf).crossJoin(F.broadcast(tpl_arrays(spark, sf))).withColumn("c", S.cosine("x", "tv"))  # a template per unit
+    best = p.groupBy("vec_id").agg(F.max(F.struct(F.round("c", 9).alias("r"), (-F.col("tu")).alias("o"), "c", "tu")).alias("b"))
+    return best.select("vec_id", F.col("b.tu").alias("tu"), r6(F.col("b.c"), "cosine"))
+
+
+@register(f"""WITH {TA}, d AS (SELECT vec_id, unit, tu, sqrt(list_sum([pow(a[1] - a[2], 2) for a in list_zip(x, tv)])) AS d FROM s, ta), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), tu) AS r FROM d)
+SELECT vec_id, unit, CASE WHEN d < 8 THEN tu ELSE -1 END AS label, round(d, 6) AS distance FROM r WHERE r = 1""")
+def residual_reassign(spark, sf):
+    p = snippets(spark, sf).crossJoin(F.broadcast(tpl_arrays(spark, sf))).withColumn("d", S.euclidean("x", "tv"))
+    best = p.groupBy("vec_id", "unit").agg(F.min(F.struct(F.round("d", 9).alias("r"), "tu", "d")).alias("b"))
+    return best.select("vec_id", "unit", F.when(F.col("b.d") < 8, F.col("b.tu")).otherwise(-1).alias("label"), r6(F.col("b.d"), "distance"))
+
+
+@register(f"""WITH {TA}, d AS (SELECT vec_id, tu, sqrt(list_sum([pow(a[1] - a[2], 2) for a in list_zip(x, tv)])) AS d FROM s, ta), w AS (SELECT vec_id, tu, exp(-d + min(d) OVER (PARTITION BY vec_id)) AS w FROM d)
+SELECT vec_id, tu, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS weight FROM w""")
+def softmax_weights(spark, sf):
+    p = snippets(spark, sf).select("vec_id", "x").crossJoin(F.broadcast(tpl_arrays(spark, sf))).select("vec_id", "tu", S.euclidean("x", "tv").alias("d"))
+    w = Window.partitionBy("vec_id")
+    return p.withColumn("w", F.exp(F.min("d").over(w) - F.col("d"))).select("vec_id", "tu", r6(F.col("w") / F.sum("w").over(w), "weight"))
+
+
+@register(f"""WITH {TA}, tp AS (SELECT a.tu AS a, b.tu AS b, a.tv AS x, b.tv AS y FROM ta a JOIN ta b ON a.tu < b.tu),
+k AS (SELECT a, b, list_max([abs((CASE WHEN i - k BETWEEN 1 AND 64 THEN x[i - k] ELSE 0 END) - y[i]) for i in range(1, 65)]) AS d FROM tp, range(-2, 3) r(k)) SELECT a, b, round(min(d), 6) AS distance FROM k GROUP BY a, b""")
+def template_shift_distance(spark, sf):
+    t = tpl_arrays(spark, sf)
+    p = t.toDF("a", "x").join(F.broadcast(t.toDF("b", "y")), F.col("a") < F.col("b"))
+    return p.select("a", "b", r6(S.shift_distance("x", "y", range(-2, 3), 64), "distance"))
+
+
+@register(f"WITH {SN}, p AS (SELECT unit, unnest(range(len(x))) AS t, unnest(x) AS v FROM s) SELECT unit, CAST(arg_max(t, (m, -t)) AS BIGINT) AS main_channel FROM (SELECT unit, t, round(median(v), 9) AS m FROM p GROUP BY ALL) GROUP BY unit")
+def main_channel(spark, sf):
+    t = A.templates(snippets(spark, sf), "unit", "x")
+    return t.groupBy("unit").agg(F.max_by("t", F.struct(F.round("v", 9), -F.col("t"))).cast("long").alias("main_channel"))
+
+
+@register("SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') AS name FROM part")
+def normalised_names(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", S.clean_name("p_name").alias("name"))
+
+
+@register("SELECT p_partkey, round(100 / sqrt(pow(p_size, 2) + pow(15, 2) + pow(p_retailprice - 1000, 2)), 6) AS amplitude, round(100 / (pow(p_size, 2) + pow(15, 2) + pow(p_retailprice - 1000, 2)), 6) AS squared FROM part")
+def point_source_amplitude(spark, sf):
+    x, y, z = F.col("p_size").cast("double"), F.lit(15.0), F.col("p_retailprice") - 1000
+    return table(spark, sf, "part").select("p_partkey", r6(S.point_source(F.lit(100.0), x, y, z), "amplitude"), r6(S.point_source(F.lit(100.0), x, y, z, True), "squared"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+    return flagship_detection(spark, sf_dir)
+
+
+from wavemill.plans import models as _models  # noqa: E402,F401  registers the fitted and sequential queries
