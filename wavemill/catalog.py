@@ -520,4 +520,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship_detection(spark, sf_dir)
 
 
-from wavemill.plans import models as _models  # noqa: E402,F401  registers the fitted and sequential queries
+from wavemill.plans import models as _models, more as _more  # noqa: E402,F401  they register their queries
