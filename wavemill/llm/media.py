@@ -48,6 +48,11 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
     return (values[..., None] >> np.arange(width - 1, -1, -1)).astype(np.uint8) & 1
 
 
+_DC_CODES = _table(0, 0, [(4, s) for s in range(10)])
+#: No zeros before it and so many bits; end of band, so only correction bits follow.
+_AC_CODES = _table(1, 0, [(1, 9 - LOW)]) + _table(1, 1, [(1, 0)])
+
+
 def encode(coefficients: np.ndarray, columns: int, comment: bytes = b"") -> bytes:
     """A progressive JPEG of (3, blocks, 64) coefficients of LIFT..2 * LIFT - 1 in zigzag order, ``columns`` blocks wide."""
     v = coefficients.astype(np.int32)
@@ -57,7 +62,7 @@ def encode(coefficients: np.ndarray, columns: int, comment: bytes = b"") -> byte
     size = b"\x08" + (rows * 8).to_bytes(2, "big") + (columns * 8).to_bytes(2, "big")
     out = [b"\xff\xd8", _segment(0xFE, comment), _segment(0xDB, b"\x00" + bytes([1] * 64)), _segment(0xC2, size + b"\x03" + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))]
     # DC: differences of the high bits along each component, interleaved; 9 categories in codes of 4 bits.
-    out.append(_table(0, 0, [(4, s) for s in range(10)]))
+    out.append(_DC_CODES)
     dc = v[:, :, 0] >> LOW
     diff = np.diff(dc, axis=1, prepend=0).T.ravel()
     width = np.zeros(len(diff), np.int64)
@@ -68,8 +73,7 @@ def encode(coefficients: np.ndarray, columns: int, comment: bytes = b"") -> byte
     keep = np.concatenate([np.ones((len(diff), 4), bool), np.arange(8, -1, -1)[None, :] < width[:, None]], 1)
     out.append(_scan([(1, 0, 0), (2, 0, 0), (3, 0, 0)], 0, 0, 0, LOW, grid[keep]))
     bits_left = 9 - LOW
-    out.append(_table(1, 0, [(1, bits_left)]))  # no zeros before it, and so many bits
-    out.append(_table(1, 1, [(1, 0)]))  # end of band: only correction bits follow
+    out.append(_AC_CODES)
     for first, last in BANDS:
         for c in range(3):
             part = v[c, :, first : last + 1] >> LOW
@@ -211,8 +215,9 @@ def _places(frame: dict, chosen: list) -> tuple[list, int]:
     """(part, row, column) arrays of blocks per unit in scan order: blocks alone, or whole MCUs."""
     if len(chosen) == 1:
         p = chosen[0][0]
-        r, c = np.divmod(np.arange(p["rows"] * p["cols"]), p["cols"])
-        return [(chosen[0], r, c)], len(r)
+        if "grid" not in p:
+            p["grid"] = np.divmod(np.arange(p["rows"] * p["cols"]), p["cols"])
+        return [(chosen[0], *p["grid"])], p["rows"] * p["cols"]
     mr, mc = frame["mcus"]
     y, x = np.divmod(np.arange(mr * mc), mc)
     return [(t, y * t[0]["v"] + j, x * t[0]["h"] + i) for t in chosen for j in range(t[0]["v"]) for i in range(t[0]["h"])], mr * mc
@@ -246,7 +251,8 @@ def _read_scan(frame, chosen, tables, first, last, high, low, pieces, interval)
         return
     (p, _, ac), r, c = units[0]
     table, span = tables[16 + ac], last - first + 1
-    band = p["coef"][r, c, first : last + 1]
+    whole = p["coef"].shape[:2] == (p["rows"], p["cols"])  # then the blocks are a view
+    band = p["coef"].reshape(-1, 64)[:, first : last + 1] if whole else p["coef"][r, c, first : last + 1]
     single = table["single"]
     if not high and single and single[1] >> 4 == 0 and single[1] & 15:
         length, s = single
@@ -261,7 +267,10 @@ def _read_scan(frame, chosen, tables, first, last, high, low, pieces, interval)
         for data, k in zip(pieces, counts, strict=True):
             (_refine_ac if high else _first_ac)(_Reader(data), table, band[u : u + k], low)
             u += k
-    p["coef"][r, c, first : last + 1] = band
+    if whole:
+        p["coef"].reshape(-1, 64)[:, first : last + 1] = band
+    else:
+        p["coef"][r, c, first : last + 1] = band
 
 
 def _first_ac(got: _Reader, table: dict, band: np.ndarray, low: int) -> None:
