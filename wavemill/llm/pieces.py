@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wavemill.llm import _text
 
-SEED, SHARPNESS, BYTE_WEIGHT, LONGEST = 17, 1.5, -30.0, 64
+SEED, SHARPNESS, BYTE_WEIGHT, LONGEST, PIECES_AT_ONCE = 17, 1.5, -30.0, 64, 1 << 18
 
 
 def default_model() -> str:
@@ -184,7 +184,7 @@ def encode_chunk(p: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     return row[who[order]], piece[order]
 
 
-def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 384 << 10) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 1 << 20) -> DataFrame:
     """docs with a column of sampled piece ids (array<int>); a column of that name is replaced.
 
     Null and empty texts give no pieces. The draw depends on seed, the key cast to string (null: its
@@ -197,13 +197,15 @@ def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", te
         p = load(path, sharpness)
         for batch in batches:
             keys = batch.column("_key").to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo, hi, buf, offsets in _text.chunks(batch.column("_text"), chunk_bytes):
+            for lo, hi, buf, offsets in _text.chunks(batch.column(given), chunk_bytes):
                 row, piece = encode_chunk(p, buf, offsets, keys[lo:hi], seed)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
                 cols = [batch.column(c).slice(lo, hi - lo) for c in others]
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(piece.astype(np.int32)))], [*others, to])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in others], F.xxhash64(F.col(key).cast("string")).alias("_key"), F.col(text).alias("_text"))
+    given = text if text in others else "_text"  # the text travels once
+    extra = [] if given == text else [F.col(text).alias("_text")]
+    source = docs.select(*[F.col(f"`{c}`") for c in others], F.xxhash64(F.col(key).cast("string")).alias("_key"), *extra)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != to)
     return source.mapInArrow(run, f"{fields}, `{to}` array<int>")
 
@@ -218,13 +220,18 @@ def decode(docs: DataFrame, model: str | None = None, *, pieces: str = "pieces",
         for batch in batches:
             col = batch.column(pieces)
             counts = np.nan_to_num(np.asarray(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False), float)).astype(np.int64)
-            ids = col.flatten().to_numpy(zero_copy_only=False)
-            size = p.lengths[ids]
-            done = np.concatenate([[0], np.cumsum(size)])
-            flat = p.joined[np.arange(done[-1]) + np.repeat(p.starts[ids] - done[:-1], size)]
-            ends = done[np.concatenate([[0], np.cumsum(counts)])]
-            texts = [flat[a + 1 : b].tobytes() if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.binary()).cast(pa.string())], [*others, to])
+            ids, upto = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
+            lo = 0
+            while lo < len(counts):  # whole rows of about PIECES_AT_ONCE pieces
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PIECES_AT_ONCE, "right")) - 1)
+                some = ids[upto[lo] : upto[hi]]
+                size = p.lengths[some]
+                done = np.concatenate([[0], np.cumsum(size)])
+                flat = p.joined[np.arange(done[-1]) + np.repeat(p.starts[some] - done[:-1], size)]
+                ends = done[upto[lo : hi + 1] - upto[lo]]
+                texts = [flat[a + 1 : b].tobytes() if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in others), pa.array(texts, pa.binary()).cast(pa.string())], [*others, to])
+                lo = hi
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != to)
     return docs.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(run, f"{fields}, `{to}` string")
