@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out and sets n_chars anew. A document of which no word is left, though it had some, goes."""
-    out = lines.dedup_lines(docs.select(*COLUMNS))
+    out = lines.dedup_lines(docs.select(*COLUMNS), grams=True)
     worded = F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\s]"))
     return out.where((F.col("n_removed") == 0) | worded).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

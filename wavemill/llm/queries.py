@@ -25,7 +25,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), grams=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
