@@ -129,3 +129,15 @@ def test_append_resumes(spark, tmp_path):
     assert online.append_new(spark, df.where("t < 50"), "t", path) == 5
     assert online.append_new(spark, df, "t", path) == 5 and online.append_new(spark, df, "t", path) == 0
     assert spark.read.parquet(path).count() == 10
+
+
+def test_peaks_before_the_middle_are_aligned(spark, sf):
+    got = {r.vec_id: r for r in catalog.QUERIES["peak_alignment_whole"](spark, sf).collect()}
+    rows = catalog.snippets(spark, sf).collect()
+    assert len(got) == len(rows) and any(r.shift < 0 for r in got.values()) and any(r.shift > 0 for r in got.values())
+    for r in rows:
+        x = np.array(r.x)
+        k = int(x.argmax()) - 32
+        k = k if abs(k) <= 16 else 0
+        want = np.pad(x, (max(0, -k), max(0, k)), mode="linear_ramp")[max(0, k) :][: len(x)]
+        assert got[r.vec_id].shift == k and np.allclose(got[r.vec_id].aligned, want, atol=2e-6)

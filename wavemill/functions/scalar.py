@@ -71,6 +71,15 @@ def shifted(a, k: int, size: int) -> Column:
     return F.concat(zeros, F.slice(body, 1, size - k)) if k > 0 else F.concat(F.slice(body, 1 - k, size + k), zeros)
 
 
+def rolled(a, k: Column) -> Column:
+    """The array moved k places to the left (right if k < 0), per row; what moves in is a linear ramp from the end value to 0."""
+    col = (F.col(a) if isinstance(a, str) else a).cast("array<double>")
+    n = F.size(col)
+    inside = lambda i: F.get(col, i + k)
+    ramp = lambda i: F.when(i + k < 0, F.get(col, F.lit(0)) * i / -k).when(i + k >= n, F.get(col, n - 1) * (n - 1 - i) / k)
+    return F.transform(col, lambda v, i: F.when((i + k < 0) | (i + k >= n), ramp(i)).otherwise(inside(i)))
+
+
 def shift_distance(a, b, shifts: range, size: int) -> Column:
     """Least over shifts of the largest absolute difference."""
     return F.least(*[max_abs_difference(shifted(a, k, size), b) for k in shifts]) if len(shifts) > 1 else max_abs_difference(shifted(a, shifts[0], size), b)

@@ -60,6 +60,14 @@ def peak_alignment(spark, sf) -> DataFrame:
     return moved.select("vec_id", F.col("k").cast("long").alias("shift"), C.r6(F.get("y", F.lit(0)), "first"), C.r6(F.get("y", F.lit(32)), "middle"))
 
 
+@C.register(f"""WITH {C.SN}, p AS (SELECT vec_id, x, len(x) AS n, list_position(x, list_max(x)) - 1 - 32 AS k FROM s), q AS (SELECT vec_id, x, n, CASE WHEN abs(k) <= 16 THEN k ELSE 0 END AS k FROM p)
+SELECT vec_id, CAST(k AS BIGINT) AS shift, [round(CASE WHEN i + k < 0 THEN x[1] * i / -k WHEN i + k >= n THEN x[n] * (n - 1 - i) / k ELSE x[i + k + 1] END, 6) + 0.0 for i in range(0, n)] AS aligned FROM q""")
+def peak_alignment_whole(spark, sf) -> DataFrame:
+    """As peak_alignment, for peaks on either side of the middle and with the whole array."""
+    p = C.snippets(spark, sf).withColumn("k", (S.argmax("x") - 32).cast("int")).withColumn("k", F.when(F.abs("k") <= 16, F.col("k")).otherwise(0))
+    return p.select("vec_id", F.col("k").cast("long").alias("shift"), F.transform(S.rolled("x", F.col("k")), lambda v: F.round(v, 6) + F.lit(0.0)).alias("aligned"))
+
+
 @C.register(f"""WITH {C.RASTER} SELECT a.d, a.t, round(sum(b.n * b.mean) / sum(b.n), 6) AS pooled FROM c a JOIN c b ON a.t = b.t AND (a.d = b.d OR (a.n < 3 AND abs(a.d - b.d) = 1)) GROUP BY a.d, a.t""")
 def pooled_thin_bins(spark, sf) -> DataFrame:
     c = C.cells(spark, sf)
