@@ -141,3 +141,37 @@ def test_peaks_before_the_middle_are_aligned(spark, sf):
         k = k if abs(k) <= 16 else 0
         want = np.pad(x, (max(0, -k), max(0, k)), mode="linear_ramp")[max(0, k) :][: len(x)]
         assert got[r.vec_id].shift == k and np.allclose(got[r.vec_id].aligned, want, atol=2e-6)
+
+
+def plain_pursuit(x, templates, threshold, dead=5):
+    """Every gain computed anew in each round, without a bound on rounds."""
+    x, size, norms, out = x.astype(float).copy(), templates.shape[1], (templates**2).sum(1), []
+    blocked = np.zeros((len(templates), len(x) - size + 1), bool)
+    while True:
+        gain = np.where(blocked, -np.inf, 2 * templates @ np.lib.stride_tricks.sliding_window_view(x, size).T - norms[:, None])
+        k, i = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        if gain[k, i] <= threshold:
+            return out
+        x[i : i + size] -= templates[k]
+        blocked[k, max(0, i - dead) : i + dead + 1] = True
+        out.append((int(i), int(k)))
+
+
+def test_pursuit_goes_on_until_no_gain_is_left(spark):
+    one = np.array([[1.0, 3.0, 1.0]])
+    assert sorted(g[0] for g in K.matching_pursuit(np.tile([0, 0, 1, 3, 1, 0, 0, 0], 700), one, 5)) == [8 * i + 2 for i in range(700)]
+    two = np.array([[1.0, 3.0, 1.0], [2.0, -2.0, 2.0]])
+    for seed in range(5):
+        x = np.random.default_rng(seed).integers(0, 8, 900).astype(float) * 1.37 + np.random.default_rng(seed + 9).random(900)
+        got = [(i, k) for i, k, _ in K.matching_pursuit(x, two, 3.0)]
+        assert len(got) > 200 and got == plain_pursuit(x, two, 3.0)
+    day = 86_400_000_000
+    rows = [(1, i, (59 * 24 + 22 + i) * day // 24, v) for i, v in enumerate([0.0, 1.0, 3.0, 1.0, 0.0])]  # over a boundary of 60 days
+    df = spark.createDataFrame(rows, "unit long, event_id long, t long, v double")
+    assert [r.start for r in K.pursue(df, "unit", ["t", "event_id"], "v", one, 5).collect()] == [1]
+
+
+def test_pursuit_takes_a_unit_whole(spark, sf):
+    e, shape = catalog.stream(spark, sf).toPandas(), np.array([[1.0, 3.0, 1.0], [2.0, 2.0, 2.0]]) * 20
+    want = {(u, i, k) for u, p in e.groupby("unit") if len(p) >= 3 for i, k in plain_pursuit(p.sort_values(["t", "event_id"]).v.to_numpy(), shape, 2000.0)}
+    assert {(r.unit, r.start, r.template) for r in catalog.QUERIES["matching_pursuit"](spark, sf).collect()} == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 
 import numpy as np
@@ -159,35 +160,47 @@ def project(df: DataFrame, array: str, mean: np.ndarray, axes: np.ndarray, to: s
     return df.withColumn(to, F.array(*row))
 
 
-def matching_pursuit(trace: np.ndarray, templates: np.ndarray, threshold: float, dead: int = 5, rounds: int = 200) -> list[tuple[int, int, float]]:
-    """Greedy (start, template, gain) list: the objective 2 <x, t> - |t|^2 is searched, the best template subtracted, until none exceeds the threshold."""
+def matching_pursuit(trace: np.ndarray, templates: np.ndarray, threshold: float, dead: int = 5) -> list[tuple[int, int, float]]:
+    """Greedy (start, template, gain) list: the objective 2 <x, t> - |t|^2 is searched, the best template subtracted, until none exceeds the threshold.
+
+    Places are taken from a heap, and after a match only the gains of places that overlap it are computed anew. A match
+    blocks its own place, so there are as many matches as places and templates at most.
+    """
     x, out = trace.astype(float).copy(), []
     size = templates.shape[1]
     norms = (templates**2).sum(1)
     if len(x) < size:
         return out
-    blocked = np.zeros((len(templates), len(x) - size + 1), bool)
-    for _ in range(rounds):
-        view = np.lib.stride_tricks.sliding_window_view(x, size)
-        gain = np.where(blocked, -np.inf, 2 * templates @ view.T - norms[:, None])
-        k, i = np.unravel_index(int(np.argmax(gain)), gain.shape)
-        if gain[k, i] <= threshold:
-            break
+    view = np.lib.stride_tricks.sliding_window_view(x, size)  # sees what is subtracted
+    gain = 2 * templates @ view.T - norms[:, None]
+    blocked = np.zeros(gain.shape, bool)
+    heap = [(-float(gain[k, i]), int(k), int(i)) for k, i in np.argwhere(gain > threshold)]
+    heapq.heapify(heap)
+    while heap:
+        g, k, i = heapq.heappop(heap)
+        if blocked[k, i] or -g != gain[k, i]:  # taken, or changed since
+            continue
         x[i : i + size] -= templates[k]
         blocked[k, max(0, i - dead) : i + dead + 1] = True
-        out.append((int(i), int(k), float(gain[k, i])))
+        out.append((i, k, -g))
+        lo, hi = max(0, i - size + 1), i + size
+        gain[:, lo:hi] = 2 * templates @ view[lo:hi].T - norms[:, None]
+        for kk, j in np.argwhere((gain[:, lo:hi] > threshold) & ~blocked[:, lo:hi]):
+            heapq.heappush(heap, (-float(gain[kk, lo + j]), int(kk), int(lo + j)))
     return out
 
 
-def pursue(df: DataFrame, key: str, order: str, value: str, templates: np.ndarray, threshold: float) -> DataFrame:
-    """Matching pursuit per chunk of a series: (key, start, template, gain)."""
+def pursue(df: DataFrame, key: str, order: str | list[str], value: str, templates: np.ndarray, threshold: float) -> DataFrame:
+    """Matching pursuit per series: (key, start, template, gain); start counts rows in order. A series is one task, so that no
+    match is lost at a cut; time is n log n and memory linear in its rows."""
     kind = df.schema[key].dataType.simpleString()
+    by = [order] if isinstance(order, str) else order
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        got = matching_pursuit(p.sort_values(order)[value].to_numpy(), templates, threshold)
+        got = matching_pursuit(p.sort_values(by)[value].to_numpy(), templates, threshold)
         return pd.DataFrame([(p[key].iloc[0], *g) for g in got], columns=[key, "start", "template", "gain"])
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, start long, template long, gain double")
+    return df.select(*dict.fromkeys([key, *by, value])).groupBy(key).applyInPandas(run, f"{key} {kind}, start long, template long, gain double")
 
 
 def linkage_merge(distance: np.ndarray, threshold: float, method: str = "complete") -> np.ndarray:

@@ -51,9 +51,8 @@ def linkage_merge(spark, sf) -> DataFrame:
 
 @C.register()
 def matching_pursuit(spark, sf) -> DataFrame:
-    e = C.stream(spark, sf).withColumn("chunk", F.concat_ws(":", "unit", F.floor(F.col("t") / (60 * C.DAY))))
     shape = np.array([[1.0, 3.0, 1.0], [2.0, 2.0, 2.0]]) * 20
-    return K.pursue(e, "chunk", "t", "v", shape, 2000.0)
+    return K.pursue(C.stream(spark, sf), "unit", ["t", "event_id"], "v", shape, 2000.0)
 
 
 @C.register()
