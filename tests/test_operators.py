@@ -175,3 +175,16 @@ def test_pursuit_takes_a_unit_whole(spark, sf):
     e, shape = catalog.stream(spark, sf).toPandas(), np.array([[1.0, 3.0, 1.0], [2.0, 2.0, 2.0]]) * 20
     want = {(u, i, k) for u, p in e.groupby("unit") if len(p) >= 3 for i, k in plain_pursuit(p.sort_values(["t", "event_id"]).v.to_numpy(), shape, 2000.0)}
     assert {(r.unit, r.start, r.template) for r in catalog.QUERIES["matching_pursuit"](spark, sf).collect()} == want
+
+
+def test_clamp_covers_the_whole_array(spark, sf):
+    x = {r.vec_id: np.array(r.x) for r in catalog.snippets(spark, sf).collect()}
+    for r in catalog.QUERIES["monotone_clamp_whole"](spark, sf).collect():
+        m, v = np.abs(r.clamped), x[r.vec_id]
+        assert len(m) == len(v) and (np.diff(m[:21]) >= 0).all() and (np.diff(m[44:]) <= 0).all()
+        assert np.allclose(r.clamped[20:45], v[20:45], atol=1e-6)
+
+
+def test_overlap_has_every_customer(spark, sf):
+    units = {r[0] for r in catalog.table(spark, sf, "orders").select("o_custkey").distinct().collect()}
+    assert {r.a for r in catalog.QUERIES["channel_overlap_whole"](spark, sf).select("a").distinct().collect()} == units

@@ -113,6 +113,15 @@ def outward_monotone(a) -> Column:
     return F.aggregate(col, start, step, lambda s: s["out"])
 
 
+def temporal_decrease(a, left: int, right: int) -> Column:
+    """Magnitudes that don't grow outward: running minimum from place ``left`` to the front and from ``right`` to the end; signs stay."""
+    col = F.col(a) if isinstance(a, str) else a
+    front = F.reverse(outward_monotone(F.reverse(F.slice(col, 1, left + 1))))
+    between = F.slice(col, left + 2, right - left - 1).cast("array<double>")
+    back = outward_monotone(F.slice(col, F.lit(right + 1), F.greatest(F.size(col) - right, F.lit(0))))
+    return F.concat(front, between, back)
+
+
 def clean_name(name) -> Column:
     """Lower case, runs of other characters than letters and digits as one underscore."""
     return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_")

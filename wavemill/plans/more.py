@@ -118,11 +118,31 @@ def snippet_slope(spark, sf) -> DataFrame:
     return p.groupBy("vec_id").agg(C.r6(F.regr_slope("v", "i"), "slope"))
 
 
+@C.register("""WITH u AS (SELECT DISTINCT o_custkey AS unit, o_orderpriority || o_orderstatus AS ch FROM orders), k AS (SELECT unit, count(*) AS k FROM u GROUP BY unit)
+SELECT a.unit AS a, b.unit AS b, count(*) AS shared, round(count(*) / any_value(k), 6) AS fraction FROM u a JOIN u b ON a.ch = b.ch JOIN k ON k.unit = a.unit GROUP BY a.unit, b.unit""")
+def channel_overlap_whole(spark, sf) -> DataFrame:
+    """Overlap of every two customers' channels over all orders. Customers of equal channels are one set; sets meet by channel, and
+    pairs of sets are spread to their customers last, so that only the result has a row per pair of customers."""
+    u = C.table(spark, sf, "orders").select(F.col("o_custkey").alias("unit"), F.concat("o_orderpriority", "o_orderstatus").alias("ch")).distinct()
+    member = u.groupBy("unit").agg(F.array_sort(F.collect_list("ch")).alias("chs"))
+    sets = member.select("chs").distinct()
+    flat = sets.select("chs", F.explode("chs").alias("ch"))
+    pairs = flat.join(flat.withColumnRenamed("chs", "chs2"), "ch").groupBy("chs", "chs2").agg(F.count("*").alias("shared"))
+    out = pairs.join(member.withColumnRenamed("unit", "a"), "chs").join(member.toDF("b", "chs2"), "chs2")
+    return out.select("a", "b", "shared", C.r6(F.col("shared") / F.size("chs"), "fraction"))
+
+
 @C.register(f"WITH {C.SN} SELECT vec_id, [round(list_min([abs(x[j]) for j in range(1, i + 1)]) * sign(x[i]), 6) for i in range(1, 9)] AS clamped FROM s")
 def monotone_clamp(spark, sf) -> DataFrame:
     return C.snippets(spark, sf).select("vec_id", F.transform(S.outward_monotone(F.slice("x", 1, 8)), lambda v: F.round(v, 6)).alias("clamped"))
 
 
+@C.register(f"""WITH {C.SN} SELECT vec_id, [round(CASE WHEN i <= 21 THEN list_min([abs(x[j]) for j in range(i, 22)]) * sign(x[i]) WHEN i >= 45 THEN list_min([abs(x[j]) for j in range(45, i + 1)]) * sign(x[i]) ELSE x[i] END, 6) + 0.0 for i in range(1, len(x) + 1)] AS clamped FROM s""")
+def monotone_clamp_whole(spark, sf) -> DataFrame:
+    """The whole array: magnitudes fall outward from places 20 and 44."""
+    return C.snippets(spark, sf).select("vec_id", F.transform(S.temporal_decrease("x", 20, 44), lambda v: F.round(v, 6) + F.lit(0.0)).alias("clamped"))
+
+
 @C.register("""WITH n AS (SELECT DISTINCT p_size AS x, p_retailprice AS z FROM part), d AS (SELECT x, z - lag(z) OVER (PARTITION BY x ORDER BY z) AS d FROM n) SELECT x, round(min(d), 6) AS pitch FROM d WHERE d IS NOT NULL GROUP BY x""")
 def column_pitch(spark, sf) -> DataFrame:
     n = C.table(spark, sf, "part").select(F.col("p_size").alias("x"), F.col("p_retailprice").alias("z")).distinct()
