@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wavemill.llm import media as M
 
@@ -52,3 +53,24 @@ def test_rows_of_any_text(spark):
         assert len(r.rgb) == 3 * r.height * r.width
     assert len({r.media_sha256 for r in got if r.id == 1}) == 1
     assert M.read_media(M.store_texts(df.limit(0))).collect() == []
+
+
+def test_query_stores_media_and_shows_tensor_digests(spark, sf, monkeypatch):
+    from wavemill.llm import queries
+
+    stored = []
+    keep = queries.materialise
+    monkeypatch.setattr(queries, "materialise", lambda df, name: stored.append(name) or keep(df, name))
+    small = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(20)
+    monkeypatch.setattr(queries, "table", lambda *_: small)
+    got = {r.doc_id: r.rgb_sha256 for r in queries.op6_media_columns(spark, sf).collect()}
+    want = {r.id: hashlib.sha256(r.rgb).hexdigest() for r in M.read_media(M.store_texts(small), tensors=True).collect()}
+    assert stored == ["media"] and len(got) == 20 and got == want
+
+
+def test_token_counts_have_two_versions(spark, sf):
+    from wavemill.llm import queries
+
+    got = queries.op3_token_counts(spark, sf).groupBy("tokenizer").agg(F.sum("documents"), F.sum("tokens"), F.sum("characters")).collect()
+    one, two = sorted(tuple(r) for r in got)
+    assert (one[0], two[0]) == ("byte_bpe_50k", "byte_bpe_multi_50k") and (one[1], one[3]) == (two[1], two[3]) and one[2] != two[2]

@@ -409,14 +409,15 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mul
     return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, media binary")
 
 
-def read_media(media: DataFrame, tensors: bool = False) -> DataFrame:
+def read_media(media: DataFrame, tensors: bool = False, digest: bool = False) -> DataFrame:
     """A row per stored JPEG: sizes and digests of the payload read back, of the stored form, and features of its RGB tensor.
 
     feature is width x height and the mean of R, G and B in thousandths. With ``tensors`` the
-    full-resolution tensor follows as height, width and row-major bytes.
+    full-resolution tensor follows as height, width and row-major bytes; with ``digest`` comes the SHA-256 of those bytes.
     """
     kind = media.schema["id"].dataType.simpleString()
     spec = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    spec += ", rgb_sha256 string" if digest else ""
     spec += ", height int, width int, rgb binary" if tensors else ""
     names = [x.split()[0] for x in spec.split(", ")]
 
@@ -430,6 +431,7 @@ def read_media(media: DataFrame, tensors: bool = False) -> DataFrame:
                 rgb = to_rgb(frame)
                 means = rgb.reshape(-1, 3).sum(0, dtype=np.int64) * 1000 // max(1, rgb.shape[0] * rgb.shape[1])
                 row = [key.as_py(), n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{rgb.shape[1]}x{rgb.shape[0]}:" + ",".join(map(str, means))]
+                row += [hashlib.sha256(rgb.tobytes()).hexdigest()] if digest else []
                 rows.append(row + ([rgb.shape[0], rgb.shape[1], rgb.tobytes()] if tensors else []))
                 held += rgb.nbytes
                 if held > 1 << 24 or len(rows) >= 1000:
@@ -443,4 +445,4 @@ def read_media(media: DataFrame, tensors: bool = False) -> DataFrame:
 
 def _batch(rows, names, key_type):
     kinds = {"id": key_type, "height": pa.int32(), "width": pa.int32(), "rgb": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds.get(n, pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds.get(n, pa.string() if n in ("payload_sha256", "media_sha256", "feature", "rgb_sha256") else pa.int64())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)

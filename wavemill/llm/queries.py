@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavemill.llm import decontam, licenses, lines, lm, media, minhash, pieces, quality, rollup, warc
-from wavemill.llm._store import new_path
+from wavemill.llm._store import materialise, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,21 +29,23 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches: all documents; exact copies taken out but for the least id; texts whose runs of blanks and marks shrink counted anew; a repeat of the first."""
+    """For each of two tokenizer versions these batches: all documents; exact copies taken out but for the least id; texts whose runs of blanks
+    and marks shrink counted anew; a repeat of the first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     one = docs.groupBy(F.sha2("text", 256).alias("name"), F.length("text").alias("characters")).agg(F.min("doc_id").alias("least"))
     tidy = F.regexp_replace("text", r"([%&$#*!|])\1+", "$1")
     base = docs.withColumn("tidy", F.when(tidy != F.col("text"), tidy)).withColumn("name", F.sha2("text", 256))
-    counted = rollup.count_tokens(base, "byte_bpe_50k").withColumn("characters", F.length("text").cast("long"))
-    counted = rollup.count_tokens(counted, "byte_bpe_50k", text="tidy", to="tidy_tokens").withColumn("tidy_characters", F.length("tidy").cast("long"))
-    counted = rollup.materialise(counted.select("doc_id", "source", "lang", "name", "tokens", "characters", "tidy_tokens", "tidy_characters").withColumn("tokenizer", F.lit("byte_bpe_50k")), "counted")
     kept = one.select(F.col("least").alias("doc_id"))
-    again = counted.where("tidy_characters IS NOT NULL").join(kept, "doc_id", "left_semi")
     totals = rollup.Rollup(spark, new_path(spark, "rollup"))
-    totals.commit("0-insert", rollup.signed(counted, 1))
-    totals.commit("1-copies", rollup.signed(counted.join(kept, "doc_id", "left_anti"), -1))
-    totals.commit("2-tidied", rollup.revised(again, again.drop("tokens", "characters").withColumnsRenamed({"tidy_tokens": "tokens", "tidy_characters": "characters"})))
-    totals.commit("0-insert", rollup.signed(counted, 1))
+    for version, mark in (("byte_bpe_50k", ""), ("byte_bpe_multi_50k", "multi-")):
+        counted = rollup.count_tokens(base, version).withColumn("characters", F.length("text").cast("long"))
+        counted = rollup.count_tokens(counted, version, text="tidy", to="tidy_tokens").withColumn("tidy_characters", F.length("tidy").cast("long"))
+        counted = materialise(counted.select("doc_id", "source", "lang", "name", "tokens", "characters", "tidy_tokens", "tidy_characters").withColumn("tokenizer", F.lit(version)), "counted")
+        again = counted.where("tidy_characters IS NOT NULL").join(kept, "doc_id", "left_semi")
+        totals.commit(f"{mark}0-insert", rollup.signed(counted, 1))
+        totals.commit(f"{mark}1-copies", rollup.signed(counted.join(kept, "doc_id", "left_anti"), -1))
+        totals.commit(f"{mark}2-tidied", rollup.revised(again, again.drop("tokens", "characters").withColumnsRenamed({"tidy_tokens": "tokens", "tidy_characters": "characters"})))
+        totals.commit(f"{mark}0-insert", rollup.signed(counted, 1))
     return totals.totals()
 
 
@@ -59,7 +61,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.store_texts(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    """The stored form is written to the shared folder, and what is decoded is read back from there."""
+    stored = materialise(media.store_texts(table(spark, sf_dir, "documents")), "media")
+    return media.read_media(stored, digest=True).withColumnRenamed("id", "doc_id")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
