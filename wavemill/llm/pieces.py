@@ -5,8 +5,10 @@ weighted by the piece's rank. Forward filtering sums the weights of all paths to
 sampling draws one path from its end, with draws that are a hash of seed, row key and place, so the
 same row gives the same pieces on any cluster. Characters that no piece spells become byte pieces.
 
-Stretches repeat, so a chunk filters each distinct one once; draws are made for all occurrences in
-lockstep. Spaces are pieces' own spaces, so decoding returns the text byte for byte.
+Stretches repeat, so a worker filters each distinct one once and remembers it for later chunks (up to
+REMEMBERED arcs, then it starts anew; what is remembered never changes a result, since chances are
+integers). Draws are made for all occurrences in lockstep. Spaces are pieces' own spaces, so decoding
+returns the text byte for byte.
 """
 
 from __future__ import annotations
@@ -19,7 +21,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from wavemill.llm import _text
 
-SEED, SHARPNESS, BYTE_WEIGHT, LONGEST, PIECES_AT_ONCE = 17, 1.5, -30.0, 64, 1 << 18
+SEED, SHARPNESS, BYTE_WEIGHT, PIECES_AT_ONCE = 17, 1.5, -30.0, 1 << 18
+REMEMBERED = 3_000_000
+#: Chances are multiples of 2**-UNIT.
+UNIT = 28
+HEAD = 4
 
 
 def default_model() -> str:
@@ -43,8 +49,7 @@ class Pieces:
                 self.bytes_of[i], self.byte_id[value] = bytes([value]), i
             elif not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i)):
                 self.bytes_of[i] = model.id_to_piece(i).replace("▁", " ").encode()
-                if len(self.bytes_of[i]) <= LONGEST:
-                    spelled.setdefault(self.bytes_of[i], i)
+                spelled.setdefault(self.bytes_of[i], i)
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.joined = np.frombuffer(b"".join(self.bytes_of), np.uint8)
@@ -59,6 +64,12 @@ class Pieces:
         bits = 20
         self.bits, self.table = np.uint64(64 - bits), np.zeros(1 << bits, bool)
         self.table[(self.keys >> self.bits).astype(np.int64)] = True
+        # By the hash of a place's first HEAD bytes: the longest piece that may start there.
+        long = ids[self.lengths[ids] > HEAD]
+        heads = raw_spans(raw_prefix(self.joined), self.starts[long], self.starts[long] + HEAD)
+        self.reach = np.zeros(1 << bits, np.int16)
+        np.maximum.at(self.reach, (heads >> self.bits).astype(np.int64), self.lengths[long].astype(np.int16))
+        self.memory = Memory()
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece ids of hashes, -1 where there is none; most misses end at a bit table."""
@@ -101,11 +112,17 @@ def arcs(p: Pieces, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     place = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
     here, left = starts[who] + place, size[who] - place
     out = []
-    lead = (buf[here] & 0xC0) != 0x80
-    width = np.where(buf[here] < 0x80, 1, np.where(buf[here] < 0xE0, 2, np.where(buf[here] < 0xF0, 3, 4)))
+    first = buf[here]
+    lead = (first & 0xC0) != 0x80
+    width = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
     alone = np.zeros(len(who), bool)  # characters that a piece of their own spells
+    ok, reach = np.flatnonzero(lead), None
     for n in p.sizes:
-        ok = np.flatnonzero(lead & (left >= n))
+        if n > HEAD and reach is None:
+            ok = ok[left[ok] > HEAD]
+            reach = p.reach[(raw_spans(sums, here[ok], here[ok] + HEAD) >> p.bits).astype(np.int64)]
+        more = left[ok] >= n if reach is None else (left[ok] >= n) & (reach >= n)
+        ok, reach = ok[more], reach if reach is None else reach[more]
         if len(ok):
             got = p.find(raw_spans(sums, here[ok], here[ok] + n))
             hit = got >= 0
@@ -114,14 +131,15 @@ def arcs(p: Pieces, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     # Each byte of a character that no piece spells.
     at = np.maximum.accumulate(np.where(lead, np.arange(len(who)), 0)) if len(who) else np.zeros(0, np.int64)
     bare = np.flatnonzero(~alone[at])
-    out.append((who[bare], place[bare], np.ones(len(bare), np.int64), p.byte_id[buf[here[bare]]]))
+    out.append((who[bare], place[bare], np.ones(len(bare), np.int64), p.byte_id[first[bare]]))
     w, s, n, i = (np.concatenate([o[k] for o in out]) for k in range(4))
-    order = np.lexsort((n, s + n, w))
+    base = np.concatenate([[0], np.cumsum(size + 1)])
+    order = np.argsort(((base[w] + s + n) << 16) | n, kind="stable")  # runs that are in order already, merged
     return w[order], s[order], n[order], i[order]
 
 
-def filtered(p: Pieces, size: np.ndarray, arc: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For arcs ordered by (stretch, end): cumulative chances among the arcs into the same end, and the node offsets.
+def filtered(p: Pieces, size: np.ndarray, arc: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """For arcs ordered by (stretch, end): cumulative chances among the arcs into the same end in units of 2**-UNIT, and the arcs' end nodes.
 
     Ends are handled in lockstep: step e fills place e of every stretch that is long enough.
     """
@@ -129,25 +147,52 @@ def filtered(p: Pieces, size: np.ndarray, arc: tuple) -> tuple[np.ndarray, np.nd
     base = np.concatenate([[0], np.cumsum(size + 1)])
     alpha = np.full(base[-1], -np.inf)
     alpha[base[:-1]] = 0.0
-    node = base[w] + s + n
-    order = np.argsort(s + n, kind="stable")
+    node, start, weight = base[w] + s + n, base[w] + s, p.weight[i]
+    order = np.argsort((s + n).astype(np.uint16) if len(n) and (s + n).max() < 1 << 16 else s + n, kind="stable")
     bounds = np.searchsorted((s + n)[order], np.arange(1, (int(size.max()) if len(size) else 0) + 2))
-    chance = np.zeros(len(w))
+    chance = np.zeros(len(w), np.int64)
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         a = order[lo:hi]
         if not len(a):
             continue
         to = node[a]
-        got = alpha[base[w[a]] + s[a]] + p.weight[i[a]]
+        got = alpha[start[a]] + weight[a]
         cut = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
         group = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(a))))
         top = np.maximum.reduceat(got, cut)
         part = np.exp(got - top[group])
         total = np.add.reduceat(part, cut)
         alpha[to[cut]] = top + np.log(total)
-        run = np.cumsum(part / total[group])
-        chance[a] = run - (run[cut] - (part / total[group])[cut])[group]
-    return chance, node, base
+        run = np.cumsum((part / total[group] * (1 << UNIT)).astype(np.int64))
+        chance[a] = run - np.append(0, run)[cut][group]
+    return chance, node
+
+
+class Memory:
+    """Stretches filtered so far: by hash, the node of their start; by node, the arcs that end there."""
+
+    def __init__(self):
+        none = np.zeros(0, np.int64)
+        self.keys, self.base, self.into = np.zeros(0, np.uint64), none, np.zeros(1, np.int64)
+        self.level, self.length, self.piece = none, np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Start nodes of hashes, -1 where unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.base[at], -1)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, arc: tuple, chance: np.ndarray, node: np.ndarray) -> None:
+        nodes = len(self.into) - 1
+        base = np.concatenate([[0], np.cumsum(size + 1)])
+        into = np.cumsum(np.bincount(node, minlength=base[-1])[: base[-1]])
+        keys, starts = np.concatenate([self.keys, keys]), np.concatenate([self.base, base[:-1] + nodes])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.base = keys[order], starts[order]
+        self.into = np.concatenate([self.into, into + len(self.level)])
+        self.level = np.concatenate([self.level, ((node + nodes) << UNIT) + chance])
+        self.length, self.piece = np.concatenate([self.length, arc[2].astype(np.int32)]), np.concatenate([self.piece, arc[3]])
 
 
 def encode_chunk(p: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,26 +203,30 @@ def encode_chunk(p: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     wide = np.full(to[-1], 32, np.uint8)
     wide[np.arange(len(buf)) + np.repeat(np.cumsum(extra), size)] = buf
     st, en, row = stretches(wide, to)
-    key = raw_spans(raw_prefix(wide), st, en)
-    _, first, kind = np.unique(key, return_index=True, return_inverse=True)
-    us, ue = st[first], en[first]
-    arc = arcs(p, wide, us, ue)
-    chance, node, base = filtered(p, ue - us, arc)
-    into = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=base[-1]))])
+    names, first, kind = np.unique(raw_spans(raw_prefix(wide), st, en), return_index=True, return_inverse=True)
+    if len(p.memory.level) > REMEMBERED:
+        p.memory = Memory()
+    m = p.memory
+    fresh = np.flatnonzero(m.find(names) < 0)
+    if len(fresh):
+        us, ue = st[first[fresh]], en[first[fresh]]
+        arc = arcs(p, wide, us, ue)
+        m.add(names[fresh], ue - us, arc, *filtered(p, ue - us, arc))
     # Arcs are ordered by node, so those into a node are a slice; draw along all occurrences at once.
-    at = (en - st).copy()
-    live = np.argsort(kind, kind="stable")  # neighbours search the same stretch of memory
+    start = m.find(names)[kind]
+    at = en - st
+    live = np.argsort(start, kind="stable")  # neighbours search the same stretch of memory
     got_who, got_at, got_piece = [], [], []
     salt = _text.mix(keys + np.uint64((seed * 0x9E3779B97F4A7C15) % (1 << 64)))[row] + (st - to[row]).astype(np.uint64) * np.uint64(_text.BASE)
-    level = chance + node  # increasing over all arcs: node by node, and by chance within
     while len(live):
-        here = base[kind[live]] + at[live]
-        draw = (_text.mix(salt[live] ^ _text.mix(at[live].astype(np.uint64) + np.uint64(1))) >> np.uint64(11)) * 2.0**-53
-        a = np.clip(np.searchsorted(level, here + draw, "right"), into[here], into[here + 1] - 1)
+        here = start[live] + at[live]
+        draw = (_text.mix(salt[live] ^ _text.mix(at[live].astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - UNIT)).astype(np.int64)
+        # The level of the last arc into a node may fall short of its whole, by rounding down.
+        a = np.clip(np.searchsorted(m.level, (here << UNIT) + draw, "right"), m.into[here], m.into[here + 1] - 1)
         got_who.append(live)
-        at[live] -= arc[2][a]
+        at[live] -= m.length[a]
         got_at.append(at[live])
-        got_piece.append(arc[3][a])
+        got_piece.append(m.piece[a])
         live = live[at[live] > 0]
     who, pos, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (got_who, got_at, got_piece))
     order = np.argsort(st[who] + pos, kind="stable") if len(who) else np.zeros(0, np.int64)
