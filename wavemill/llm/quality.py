@@ -1,11 +1,19 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk.
 
-A linear model over hashed byte n-grams and shape statistics is fitted on trusted positives P and
-unlabelled text U. With class prior p the risk is p * R_P(+) + max(0, R_U(-) - p * R_P(-)); where the
-second part falls below zero its gradient is reversed, so the model can't profit from negative risk.
-The prior is estimated from P and U alone: the least ratio of U's mass to P's over score thresholds
-of a first model. The bias is then set so that KEPT_POSITIVES of held-back positives score THRESHOLD
-or more. Fitting uses a bounded sample (``fit_rows``); scoring covers every whole text.
+A linear model z over hashed byte trigrams and shape statistics is fitted on trusted positives P and
+unlabelled text U. With class prior p and the squared loss the risk is
+p * E_P[(1 - z)^2] + max(0, E_U[(1 + z)^2] - p * E_P[(1 + z)^2]). It depends on the rows only through
+the means of x and x * x' over P and over U, so these are summed over *every* training row in one pass
+each, and the driver gets a matrix of fixed size whatever the corpus. The maximum is the largest, over
+theta in 0..1, of theta times its second part, so the minimum is found exactly: theta is 1, or the
+point where the second part is 0.
+
+The prior is estimated from P and U alone: the least ratio of U's mass to P's over score thresholds of
+a first model, fitted on one half of the rows and counted on the other. The score is placed so that
+KEPT_POSITIVES of positives that weren't fitted on get THRESHOLD or more.
+
+Features and weights are integers (in units of 1 / UNIT and 1 / FINE), so sums are exact and a text's
+score doesn't depend on how rows are parted.
 """
 
 from __future__ import annotations
@@ -19,15 +27,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wavemill.llm import _text
 
-BUCKETS, FIT_ROWS, THRESHOLD, KEPT_POSITIVES = 1 << 11, 6_000, 0.7, 0.995
+BUCKETS, THRESHOLD, KEPT_POSITIVES, RIDGE, STEEPNESS = 1 << 8, 0.7, 0.998, 1e-3, 8.0
+UNIT, MOST, FINE = 256, 1024, 1 << 24
+#: Histograms of z: so many bins over -SPAN..SPAN.
+BINS, SPAN = 1 << 14, 4.0
 _SHAPE = 12
 
 
 def features(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """A row per text: log-scaled, length-normed counts of hashed byte trigrams, then shape statistics. Empty texts are all 0 but for the bias."""
+    """A row per text, whole numbers of units: log-scaled, length-normed counts of hashed byte trigrams, then shape
+    statistics, then the constant. Empty texts are all 0 but for the constant."""
     n, size = len(offsets) - 1, np.diff(offsets)
-    out = np.zeros((n, buckets + _SHAPE), np.float32)
-    out[:, -1] = 1
+    out = np.zeros((n, buckets + _SHAPE))
+    out[:, -1] = UNIT
     if not len(buf):
         return out
     row = np.repeat(np.arange(n), size)
@@ -39,8 +51,8 @@ def features(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> np
     slot = (gram >> np.uint32(32 - int(buckets).bit_length() + 1)).astype(np.int64)
     for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         if hi > lo:
-            c = np.log1p(np.bincount(slot[lo:hi], minlength=buckets).astype(np.float32))
-            out[i, :buckets] = c / np.sqrt((c * c).sum())
+            c = np.log1p(np.bincount(slot[lo:hi], minlength=buckets))
+            out[i, :buckets] = c * (UNIT / np.sqrt((c * c).sum()))
     s, e, word_row = _text.words(buf, offsets)
     h, _ = _text.word_hashes(buf, offsets)
     words = np.maximum(np.bincount(word_row, minlength=n), 1)
@@ -51,86 +63,122 @@ def features(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> np
     fresh = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
     kinds = np.bincount((fresh >> np.uint64(40)).astype(np.int64), minlength=n)
     long = np.bincount(word_row, weights=e - s, minlength=n) / words
-    out[:, buckets:-1] = np.stack([
+    out[:, buckets:-1] = UNIT * np.stack([
         share(mark), share((buf >= 65) & (buf <= 90)), share((buf >= 48) & (buf <= 57)), share(buf >= 128), share(buf == 10), share(buf == 32),
         kinds / words, long / 10, np.log1p(words) / 10, np.log1p(chars) / 10, share(mark & np.append(mark[1:], False)),
     ], 1)
-    return out
+    return np.minimum(np.rint(out), MOST)
 
 
 @dataclass
 class Model:
+    """z is x @ weight in units of 1 / (UNIT * FINE); ``at``: the z of score THRESHOLD."""
+
     weight: np.ndarray
     prior: float
+    at: float = 0.0
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.weight) / (UNIT * FINE)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weight, -40, 40).astype(np.float64)))
-
-
-def nonnegative_fit(pos: np.ndarray, unl: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.05, decay: float = 1e-4, batch: int = 1024, seed: int = 7) -> np.ndarray:
-    """Weights that minimise the non-negative risk under the logistic loss, by Adam."""
-    rng, dim = np.random.default_rng(seed), pos.shape[1]
-    w, m, v = np.zeros(dim), np.zeros(dim), np.zeros(dim)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for t in range(1, steps + 1):
-        p, u = pos[rng.integers(0, len(pos), batch)], unl[rng.integers(0, len(unl), batch)]
-        zp, zu = p @ w, u @ w
-        # d/dz of log(1 + exp(-z)) is sig(z) - 1, of log(1 + exp(z)) is sig(z).
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_neg = (sig(zu) @ u) / batch - prior * (sig(zp) @ p) / batch
-        g = prior * ((sig(zp) - 1) @ p) / batch + g_neg if negative >= 0 else -g_neg
-        g = g + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w.astype(np.float32)
+        if not self.weight.any():
+            return np.full(len(x), 0.5)
+        return 1 / (1 + np.exp(-np.clip(STEEPNESS * (self.margin(x) - self.at) + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives in U: the least U-mass over P-mass above a threshold that keeps a tenth of P or more.
+def moments(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """(2, d, d) sums of x * x' over rows (text, half), by half. The last column has the sums of x and the count."""
+    d = buckets + _SHAPE
+    upper = np.triu_indices(d)
 
-    Scores come from halves that the first model wasn't fitted on; masses get a one-sided error bound.
-    """
-    hp, hu = len(pos) // 2, len(unl) // 2
-    if min(hp, hu) < 10:
-        return 0.5
-    w = nonnegative_fit(pos[:hp], unl[:hu], 0.5, steps=300)
-    sp, su = np.sort(pos[hp:] @ w), np.sort(unl[hu:] @ w)
-    cut = np.quantile(sp, np.linspace(0.0, 0.9, 46))
-    p = 1 - np.searchsorted(sp, cut) / len(sp)
-    u = 1 - np.searchsorted(su, cut) / len(su)
-    slack = 1 / np.sqrt(len(su)) + 1 / np.sqrt(len(sp))
-    return float(np.clip(((u + slack * np.sqrt(u)) / np.maximum(p, 1e-9)).min(), 0.05, 0.95))
+    def run(batches):
+        total = np.zeros((2, d, d))
+        for batch in batches:
+            half = batch.column("half").to_numpy()
+            for lo, hi, buf, offsets in _text.chunks(batch.column("text"), 1 << 20, 512):
+                x = features(buf, offsets, buckets)
+                for k in (0, 1):
+                    part = x[half[lo:hi] == k]
+                    total[k] += part.T @ part
+        for k in (0, 1):
+            if total[k].any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(upper[0]), k, np.int32)), pa.array(np.arange(len(upper[0]), dtype=np.int32)), pa.array(total[k][upper].astype(np.int64))], ["half", "cell", "sum"])
+
+    sums = rows.select("text", "half").mapInArrow(run, "half int, cell int, sum long").groupBy("half", "cell").agg(F.sum("sum").alias("sum")).toArrow()
+    out = np.zeros((2, d, d))
+    half, cell, value = (sums.column(c).to_numpy() for c in ("half", "cell", "sum"))
+    out[half, upper[0][cell], upper[1][cell]] = value
+    return np.maximum(out, out.transpose(0, 2, 1)) / (UNIT * UNIT)
+
+
+def histogram(rows: DataFrame, model: Model) -> np.ndarray:
+    """Counts of z over the rows' texts, in BINS bins."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
+    def run(batches):
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for _, _, buf, offsets in _text.chunks(batch.column(0), 1 << 20, 512):
+                z = shared.value.margin(features(buf, offsets, len(shared.value.weight) - _SHAPE))
+                total += np.bincount(np.clip((z + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64), minlength=BINS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bin", "n"])
+
+    sums = rows.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BINS, np.int64)
+    out[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
+    return out
 
-def fit(positives: DataFrame, unlabelled: DataFrame, text: str = "text", key: str = "_id", *, fit_rows: int = FIT_ROWS, prior: float | None = None) -> Model:
-    """Fits on about ``fit_rows`` of either kind: the rows whose hash of key and text is below the matching share of its range.
 
-    The sample's texts are reduced to features on the executors before any reaches the driver.
-    Without rows of either kind the model gives 0.5 to all.
-    """
-    parts = []
-    for df in (positives, unlabelled):
-        share = min(1.0, fit_rows / max(1, df.count()))
-        few = df.where(F.xxhash64(key, text, F.lit(11)) <= F.lit(int(share * 2**64) - 2**63 - 1)).select(F.col(text).alias("text"))
-        x = [np.frombuffer(r[0], np.float16).astype(np.float32) for r in few.mapInArrow(_as_features, "x binary").collect()]
-        parts.append(np.stack(x) if x else np.zeros((0, BUCKETS + _SHAPE), np.float32))
-    pos, unl = parts
-    if not len(pos) or not len(unl):
-        return Model(np.zeros(BUCKETS + _SHAPE, np.float32), 0.5)
-    rng = np.random.default_rng(3)
-    pos, unl = pos[rng.permutation(len(pos))], unl[rng.permutation(len(unl))]
-    prior = estimate_prior(pos, unl) if prior is None else prior
-    part = max(1, len(pos) // 4)  # positives that place the threshold aren't fitted on
-    w = nonnegative_fit(pos[part:] if len(pos) > part else pos, unl, prior)
-    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(pos[:part] @ w, 1 - KEPT_POSITIVES)
-    return Model(w, prior)
-
-
-def _as_features(batches):
-    for batch in batches:
-        for _, _, buf, offsets in _text.chunks(batch.column(0), 1 << 20, 512):
-            x = features(buf, offsets).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
+def nonnegative_fit(pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of least non-negative risk plus ridge * |w|^2, from the moment matrices of P and U."""
+    b, a = pos / pos[-1, -1], unl / unl[-1, -1]
+    mp, mu, eye = b[:, -1], a[:, -1], ridge * np.eye(len(a))
+
+    def least(theta: float) -> np.ndarray:
+        return np.linalg.solve((1 - theta) * prior * b + theta * a + eye, prior * (1 + theta) * mp - theta * mu)
+
+    def negative(w: np.ndarray) -> float:
+        return float(w @ a @ w + 2 * mu @ w + 1 - prior * (w @ b @ w + 2 * mp @ w + 1))
+
+    lo, hi = 0.0, 1.0
+    if negative(least(1.0)) >= 0:
+        lo = 1.0
+    for _ in range(40 if lo < 1 else 0):  # the part falls as theta grows
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if negative(least(mid)) >= 0 else (lo, mid)
+    return np.rint(least(lo) * FINE)
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Share of positives in U, from histograms of a score over P and U that it wasn't fitted on: the least U-mass over
+    P-mass above a threshold that keeps a tenth of P or more. U's mass gets a one-sided error bound."""
+    n_pos, n_unl = pos.sum(), unl.sum()
+    if min(n_pos, n_unl) < 10:
+        return 0.5
+    p, u = pos[::-1].cumsum() / n_pos, unl[::-1].cumsum() / n_unl
+    slack = 1 / np.sqrt(n_unl) + 1 / np.sqrt(n_pos)
+    return float(np.clip(((u + slack * np.sqrt(u)) / np.maximum(p, 1e-9))[p >= 0.1].min(), 0.05, 0.95))
+
+
+def fit(positives: DataFrame, unlabelled: DataFrame, text: str = "text", key: str = "_id", *, prior: float | None = None, buckets: int = BUCKETS) -> Model:
+    """Fits on every row of both; a hash of key and text parts the rows in halves. Without rows of either kind the model gives 0.5 to all."""
+    split = lambda df: df.select(F.col(text).alias("text"), F.pmod(F.xxhash64(key, text, F.lit(11)), F.lit(2)).cast("int").alias("half"))
+    p, u = split(positives), split(unlabelled)
+    sum_p, sum_u = moments(p, buckets), moments(u, buckets)
+    if not sum_p.any() or not sum_u.any():
+        return Model(np.zeros(buckets + _SHAPE), 0.5)
+    other = 1 if sum_p[0].any() and sum_p[1].any() else None  # the half that isn't fitted on
+    own_p, own_u = (sum_p[0], sum_u[0] if sum_u[0].any() else sum_u[1]) if other else (sum_p.sum(0), sum_u.sum(0))
+    rest = lambda df: df.where(F.col("half") == 1) if other else df
+    if prior is None:
+        first = Model(nonnegative_fit(own_p, own_u, 0.5), 0.5)
+        prior = estimate_prior(histogram(rest(p), first), histogram(rest(u), first))
+    model = Model(nonnegative_fit(own_p, sum_u.sum(0), prior), prior)
+    kept = histogram(rest(p), model)[::-1].cumsum()[::-1]
+    place = int(np.flatnonzero(kept >= KEPT_POSITIVES * kept[0])[-1])
+    return Model(model.weight, prior, place * 2 * SPAN / BINS - SPAN)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
@@ -141,14 +189,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offsets in _text.chunks(batch.column("_text"), 1 << 20, 512):
-                s = shared.value.score(features(buf, offsets))
+                s = shared.value.score(features(buf, offsets, len(shared.value.weight) - _SHAPE))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in others), pa.array(s)], [*others, to])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != to)
     return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias("_text")).mapInArrow(run, f"{fields}`{to}` double")
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", training: Callable[[str], Column] | None = None, fit_rows: int = FIT_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", training: Callable[[str], Column] | None = None) -> Model:
     """Trusted positives are training rows labelled 1; unlabelled text is every training row, its label unseen.
 
     ``training`` gives a condition on the name of a column of ids. Labels 0 and null are never looked at. A document with
@@ -157,4 +205,4 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     keep = training or (lambda _: F.lit(True))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where(keep("_id"))
     good = labels.where(F.col(quality) == 1).select(F.col(doc_id).alias("_id")).where(keep("_id")).distinct()
-    return fit(rows.join(good, "_id", "left_semi"), rows, fit_rows=fit_rows)
+    return fit(rows.join(good, "_id", "left_semi"), rows)
