@@ -60,7 +60,7 @@ def test_query_stores_media_and_shows_tensor_digests(spark, sf, monkeypatch):
 
     stored = []
     keep = queries.materialise
-    monkeypatch.setattr(queries, "materialise", lambda df, name: stored.append(name) or keep(df, name))
+    monkeypatch.setattr(queries, "materialise", lambda df, name, *codec: stored.append(name) or keep(df, name, *codec))
     small = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(20)
     monkeypatch.setattr(queries, "table", lambda *_: small)
     got = {r.doc_id: r.rgb_sha256 for r in queries.op6_media_columns(spark, sf).collect()}

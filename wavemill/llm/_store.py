@@ -25,13 +25,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: computed once, kept when executors are lost.
 
     The plan that wrote it is garbage then; collecting it lets Spark delete its shuffle files now
     instead of at some later collection, which bounds the disk that a chain of steps holds at once.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK = 64
 #: ITU-T T.81 figure A.6, as a rule: the diagonals in turn, up and down.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
-#: Coefficients that hold a byte are offset by this, so all have nine bits and the same size category.
-LIFT = 256
+#: A coefficient that holds byte b is b, or b - TOP for bytes below 128, so all have eight bits, a sign and the same size category.
+TOP = 255
 #: (first, last, bits left out) of the first AC scans; each bit left out has a scan of its own.
 BANDS, LOW = ((1, 5), (6, 63)), 1
 
@@ -49,21 +49,21 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
 
 
 _DC_CODES = _table(0, 0, [(4, s) for s in range(10)])
-#: No zeros before it and so many bits; end of band, so only correction bits follow.
-_AC_CODES = _table(1, 0, [(1, 9 - LOW)]) + _table(1, 1, [(1, 0)])
+#: No zeros before it and so many bits; end of band, so only correction bits follow. With LOW = 1 a first record is one byte.
+_AC_CODES = _table(1, 0, [(1, 8 - LOW)]) + _table(1, 1, [(1, 0)])
 
 
 def encode(coefficients: np.ndarray, columns: int, comment: bytes = b"") -> bytes:
-    """A progressive JPEG of (3, blocks, 64) coefficients of LIFT..2 * LIFT - 1 in zigzag order, ``columns`` blocks wide."""
-    v = coefficients.astype(np.int32)
+    """A progressive JPEG of (3, blocks, 64) coefficients of magnitude 128 to TOP in zigzag order, ``columns`` blocks wide."""
+    v = coefficients.astype(np.int16)
     n = v.shape[1]
-    rows = n // columns
-    assert rows * columns == n and v.min(initial=LIFT) >= LIFT and v.max(initial=LIFT) < 2 * LIFT
+    rows, size_of = n // columns, np.abs(v)
+    assert rows * columns == n and size_of.min(initial=128) >= 128 and size_of.max(initial=128) <= TOP
     size = b"\x08" + (rows * 8).to_bytes(2, "big") + (columns * 8).to_bytes(2, "big")
     out = [b"\xff\xd8", _segment(0xFE, comment), _segment(0xDB, b"\x00" + bytes([1] * 64)), _segment(0xC2, size + b"\x03" + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))]
-    # DC: differences of the high bits along each component, interleaved; 9 categories in codes of 4 bits.
+    # DC: differences of the high bits along each component, interleaved; categories in codes of 4 bits.
     out.append(_DC_CODES)
-    dc = v[:, :, 0] >> LOW
+    dc = v[:, :, 0].astype(np.int64) >> LOW
     diff = np.diff(dc, axis=1, prepend=0).T.ravel()
     width = np.zeros(len(diff), np.int64)
     for s in range(1, 10):
@@ -72,17 +72,17 @@ def encode(coefficients: np.ndarray, columns: int, comment: bytes = b"") -> byte
     grid = np.concatenate([_bits(width, 4), _bits(code & 511, 9)], 1)
     keep = np.concatenate([np.ones((len(diff), 4), bool), np.arange(8, -1, -1)[None, :] < width[:, None]], 1)
     out.append(_scan([(1, 0, 0), (2, 0, 0), (3, 0, 0)], 0, 0, 0, LOW, grid[keep]))
-    bits_left = 9 - LOW
     out.append(_AC_CODES)
+    high = (size_of >> LOW).astype(np.uint8)
+    field = np.where(v < 0, high ^ np.uint8((1 << (8 - LOW)) - 1), high)  # after a code of one bit, 0
     for first, last in BANDS:
         for c in range(3):
-            part = v[c, :, first : last + 1] >> LOW
-            out.append(_scan([(c + 1, 0, 0)], first, last, 0, LOW, np.concatenate([np.zeros((*part.shape, 1), np.uint8), _bits(part, bits_left)], 2).ravel()))
+            out.append(_scan([(c + 1, 0, 0)], first, last, 0, LOW, _bits(field[c, :, first : last + 1], 9 - LOW).ravel()))
     for low in range(LOW - 1, -1, -1):
-        out.append(_scan([(c + 1, 0, 0) for c in range(3)], 0, 0, low + 1, low, _bits((v[:, :, 0] >> low).T, 1).ravel()))
+        out.append(_scan([(c + 1, 0, 0) for c in range(3)], 0, 0, low + 1, low, ((v[:, :, 0] >> low) & 1).astype(np.uint8).T.ravel()))
         for first, last in BANDS:
             for c in range(3):
-                part = (v[c, :, first : last + 1] >> low).astype(np.uint8) & 1
+                part = ((size_of[c, :, first : last + 1] >> low) & 1).astype(np.uint8)
                 out.append(_scan([(c + 1, 0, 1)], first, last, low + 1, low, np.concatenate([np.zeros((n, 1), np.uint8), part], 1).ravel()))
     return b"".join([*out, b"\xff\xd9"])
 
@@ -256,8 +256,14 @@ def _read_scan(frame, chosen, tables, first, last, high, low, pieces, interval)
     single = table["single"]
     if not high and single and single[1] >> 4 == 0 and single[1] & 15:
         length, s = single
-        bits = _records(pieces, counts, span * (length + s)).reshape(n, span, length + s)[:, :, length:]
-        value = bits.astype(np.int32) @ (1 << np.arange(s - 1, -1, -1, dtype=np.int32))
+        if length + s == 8:  # a record is a byte
+            if any(len(data) < k * span for data, k in zip(pieces, counts, strict=True)):
+                raise ValueError("a scan ends early")
+            record = np.concatenate([np.frombuffer(data, np.uint8, k * span) for data, k in zip(pieces, counts, strict=True)] or [np.zeros(0, np.uint8)])
+            value = (record.reshape(n, span) & ((1 << s) - 1)).astype(np.int32)
+        else:
+            bits = _records(pieces, counts, span * (length + s)).reshape(n, span, length + s)[:, :, length:]
+            value = bits.astype(np.int32) @ (1 << np.arange(s - 1, -1, -1, dtype=np.int32))
         band = np.where(value >> (s - 1), value, value - (1 << s) + 1) << low
     elif high and single and single[1] == 0 and band.all():
         bits = _records(pieces, counts, single[0] + span)[:, single[0] :].astype(np.int32)
@@ -372,7 +378,8 @@ def pack(payload: bytes, n_bytes: int) -> bytes:
     rows = -(-units // columns)
     full = np.zeros(rows * columns * 192, np.uint8)
     full[: len(payload)] = np.frombuffer(payload, np.uint8)
-    values = full.reshape(-1, 3, 64).transpose(1, 0, 2).astype(np.int32) + LIFT
+    values = full.reshape(-1, 3, 64).transpose(1, 0, 2).astype(np.int16)
+    values -= np.int16(TOP) * (values < 128)
     return encode(values, columns, f"bytes={n_bytes} payload={len(payload)}".encode())
 
 
@@ -380,7 +387,8 @@ def unpack(frame: dict) -> tuple[int, bytes]:
     """(n_bytes, payload) of a decoded frame that pack() made."""
     sizes = dict(x.split(b"=") for x in frame["comments"][0].split())
     c = [p["coef"][: p["rows"], : p["cols"]].reshape(-1, 64) for p in frame["parts"]]
-    flat = (np.stack(c, 1) - LIFT).astype(np.uint8).tobytes()
+    flat = np.stack(c, 1)
+    flat = np.where(flat < 0, flat + TOP, flat).astype(np.uint8).tobytes()
     return int(sizes[b"bytes"]), flat[: int(sizes[b"payload"])]
 
 

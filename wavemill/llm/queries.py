@@ -62,7 +62,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored form is written to the shared folder, and what is decoded is read back from there."""
-    stored = materialise(media.store_texts(table(spark, sf_dir, "documents")), "media")
+    stored = materialise(media.store_texts(table(spark, sf_dir, "documents")), "media", "zstd")
     return media.read_media(stored, digest=True).withColumnRenamed("id", "doc_id")
 
 
