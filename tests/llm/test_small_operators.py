@@ -131,3 +131,30 @@ def test_licenses_are_found_and_inherited(spark):
         1: ("MIT", "MIT", None), 2: (None, "MIT", "a"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, "Apache-2.0", "a/b/d"), 5: (None, None, None), 6: ("GPL-3.0-only", "GPL-3.0-only", None), 7: (None, None, None),
     }
     assert licenses.scan(df.limit(0)).collect() == []
+
+
+def test_warc_repeated_ids_and_long_payloads(spark):
+    import random
+
+    rng = random.Random(3)
+    noise = "".join(chr(rng.randrange(33, 0x800)) for _ in range(400_000))  # far beyond one inflation step
+    rows = [(1, "u", "p" * 1500), (1, "u", "abc"), (2, "u", "p" * 1500), (3, "u", noise), (4, "u", noise)]
+    path = new_path(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {(r.record_id, r.payload_bytes): r for r in warc.read_archives(spark.read.parquet(path)).collect()}
+    kinds = {k: (r.record_type, r.refers_to) for k, r in got.items()}
+    size = len(noise.encode())
+    name = lambda i: next(k[0] for k in kinds if k[0].endswith(f"page:{i}"))
+    assert kinds == {(name(1), 1500): ("revisit", name(2)), (name(1), 3): ("response", None), (name(2), 1500): ("response", None), (name(3), size): ("revisit", name(4)), (name(4), size): ("response", None)}
+    assert got[name(4), size].payload == noise.encode()
+
+
+def test_a_batch_committed_during_a_compaction_counts_once(spark, monkeypatch):
+    row = lambda n: rollup.signed(spark.createDataFrame([("s", "l", "t", n, n)], "source string, lang string, tokenizer string, tokens long, characters long"), 1)
+    r = rollup.Rollup(spark, new_path(spark, "rollup-test"))
+    r.commit("a", row(10))
+    first = rollup.Rollup._sum
+    monkeypatch.setattr(rollup.Rollup, "_sum", lambda self, now: self.commit("b", row(5)) and first(self, now) or first(self, now))
+    r.compact("x")
+    monkeypatch.setattr(rollup.Rollup, "_sum", first)
+    assert r.totals().first().tokens == 15 and r.batches() == ["b", "to-x"]

@@ -91,16 +91,18 @@ class Rollup:
         return True
 
     def compact(self, name: str) -> None:
-        """Folds all batches that count now into one. Their names stay known, so none can be committed again."""
+        """Folds the batches that count at the start into one; one committed meanwhile stays by itself. Names stay known, so none can be committed again."""
         now = self.batches()
         if now and not self._status(f"batch=to-{name}/_SUCCESS"):
             gone = {y for x in now if x.startswith("to-") for y in self._folded(f"batch={x}")} | set(now)
             self.spark.createDataFrame([(x,) for x in sorted(gone)], "id string").coalesce(1).write.mode("overwrite").json(f"{self.path}/folded/to-{name}")
-            self.totals().write.mode("overwrite").parquet(f"{self.path}/batch=to-{name}")
+            self._sum(now).write.mode("overwrite").parquet(f"{self.path}/batch=to-{name}")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens, characters), without keys whose counts are all 0."""
-        now = self.batches()
+        return self._sum(self.batches())
+
+    def _sum(self, now: list[str]) -> DataFrame:
         if not now:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batch={x}" for x in now])

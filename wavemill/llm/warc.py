@@ -78,10 +78,12 @@ def parse_record(plain: bytes) -> dict:
 def with_revisits(pages: DataFrame, page_id: str, payload: str, minimum: int) -> DataFrame:
     """Adds _first: the page whose response a page revisits, or null. Payloads meet only as digests; a common one is reduced to its largest id before any join."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    light = pages.select(F.col(page_id).alias("_id"), F.sha1(body).alias("_digest"), F.length(body).alias("_n")).where(F.col("_n") >= minimum)
+    named = pages.withColumns({"_digest": F.sha1(body), "_n": F.length(body)})
+    light = named.select(F.col(page_id).alias("_id"), "_digest", "_n").where(F.col("_n") >= minimum)
     most = light.groupBy("_digest", "_n").agg(F.max("_id").alias("_first"), F.min("_id").alias("_low")).where("_low < _first").drop("_low")
-    again = light.join(most, ["_digest", "_n"]).where("_id < _first").groupBy("_id").agg(F.max("_first").alias("_first"))
-    return pages.join(again, pages[page_id] == F.col("_id"), "left").drop("_id")
+    again = light.join(most, ["_digest", "_n"]).where("_id < _first").groupBy("_id", "_digest", "_n").agg(F.max("_first").alias("_first"))
+    # By payload too: a repeated id may have several.
+    return named.withColumn("_id", F.col(page_id)).join(again, ["_id", "_digest", "_n"], "left").drop("_id", "_digest", "_n")
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", *, minimum: int = MIN_REVISIT, segment_bytes: int = SEGMENT_BYTES, level: int = 6) -> None:
