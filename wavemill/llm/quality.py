@@ -29,6 +29,8 @@ from wavemill.llm import _text
 
 BUCKETS, THRESHOLD, KEPT_POSITIVES, RIDGE, STEEPNESS = 1 << 8, 0.7, 0.998, 1e-3, 8.0
 UNIT, MOST, FINE = 256, 1024, 1 << 24
+#: Bound of the labelled ids that are broadcast.
+MOST_LABELS = 1 << 18
 #: Histograms of z: so many bins over -SPAN..SPAN.
 BINS, SPAN = 1 << 14, 4.0
 _SHAPE = 12
@@ -88,47 +90,51 @@ class Model:
 
 
 def moments(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """(2, d, d) sums of x * x' over rows (text, half), by half. The last column has the sums of x and the count."""
+    """(2, 2, d, d) sums of x * x' over rows (text, half, positive): of all rows and of the positive ones, by half. The last
+    column has the sums of x and the count."""
     d = buckets + _SHAPE
     upper = np.triu_indices(d)
 
     def run(batches):
-        total = np.zeros((2, d, d))
+        total = np.zeros((4, d, d))
         for batch in batches:
-            half = batch.column("half").to_numpy()
+            half, positive = batch.column("half").to_numpy(), batch.column("positive").to_numpy(zero_copy_only=False)
             for lo, hi, buf, offsets in _text.chunks(batch.column("text"), 1 << 20, 512):
                 x = features(buf, offsets, buckets)
                 for k in (0, 1):
-                    part = x[half[lo:hi] == k]
+                    part, good = x[half[lo:hi] == k], x[(half[lo:hi] == k) & positive[lo:hi]]
                     total[k] += part.T @ part
-        for k in (0, 1):
-            if total[k].any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(upper[0]), k, np.int32)), pa.array(np.arange(len(upper[0]), dtype=np.int32)), pa.array(total[k][upper].astype(np.int64))], ["half", "cell", "sum"])
+                    total[2 + k] += good.T @ good
+        for k in range(4):
+            some = np.flatnonzero(total[k][upper])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[k][upper][some].astype(np.int64))], ["kind", "cell", "sum"])
 
-    sums = rows.select("text", "half").mapInArrow(run, "half int, cell int, sum long").groupBy("half", "cell").agg(F.sum("sum").alias("sum")).toArrow()
-    out = np.zeros((2, d, d))
-    half, cell, value = (sums.column(c).to_numpy() for c in ("half", "cell", "sum"))
-    out[half, upper[0][cell], upper[1][cell]] = value
-    return np.maximum(out, out.transpose(0, 2, 1)) / (UNIT * UNIT)
+    sums = rows.select("text", "half", "positive").mapInArrow(run, "kind int, cell int, sum long").groupBy("kind", "cell").agg(F.sum("sum").alias("sum")).toArrow()
+    out = np.zeros((4, d, d))
+    kind, cell, value = (sums.column(c).to_numpy() for c in ("kind", "cell", "sum"))
+    out[kind, upper[0][cell], upper[1][cell]] = value
+    return (np.maximum(out, out.transpose(0, 2, 1)) / (UNIT * UNIT)).reshape(2, 2, d, d)
 
 
 def histogram(rows: DataFrame, model: Model) -> np.ndarray:
-    """Counts of z over the rows' texts, in BINS bins."""
+    """(2, BINS) counts of z over rows (text, positive): of all rows and of the positive ones."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches):
-        total = np.zeros(BINS, np.int64)
+        total = np.zeros(2 * BINS, np.int64)
         for batch in batches:
-            for _, _, buf, offsets in _text.chunks(batch.column(0), 1 << 20, 512):
+            positive = batch.column("positive").to_numpy(zero_copy_only=False)
+            for lo, hi, buf, offsets in _text.chunks(batch.column("text"), 1 << 20, 512):
                 z = shared.value.margin(features(buf, offsets, len(shared.value.weight) - _SHAPE))
-                total += np.bincount(np.clip((z + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64), minlength=BINS)
+                place = np.clip((z + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64)
+                total += np.bincount(np.concatenate([place, place[positive[lo:hi]] + BINS]), minlength=2 * BINS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bin", "n"])
 
-    sums = rows.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BINS, np.int64)
+    sums = rows.select("text", "positive").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * BINS, np.int64)
     out[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
-    return out
+    return out.reshape(2, BINS)
 
 
 def nonnegative_fit(pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float = RIDGE) -> np.ndarray:
@@ -162,21 +168,18 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(((u + slack * np.sqrt(u)) / np.maximum(p, 1e-9))[p >= 0.1].min(), 0.05, 0.95))
 
 
-def fit(positives: DataFrame, unlabelled: DataFrame, text: str = "text", key: str = "_id", *, prior: float | None = None, buckets: int = BUCKETS) -> Model:
-    """Fits on every row of both; a hash of key and text parts the rows in halves. Without rows of either kind the model gives 0.5 to all."""
-    split = lambda df: df.select(F.col(text).alias("text"), F.pmod(F.xxhash64(key, text, F.lit(11)), F.lit(2)).cast("int").alias("half"))
-    p, u = split(positives), split(unlabelled)
-    sum_p, sum_u = moments(p, buckets), moments(u, buckets)
-    if not sum_p.any() or not sum_u.any():
+def fit(rows: DataFrame, *, prior: float | None = None, buckets: int = BUCKETS) -> Model:
+    """Fits on every row of (text, half, positive); half is 0 or 1. Without rows or without positive ones the model gives 0.5 to all."""
+    unl, pos = moments(rows, buckets)
+    if not pos.any():
         return Model(np.zeros(buckets + _SHAPE), 0.5)
-    other = 1 if sum_p[0].any() and sum_p[1].any() else None  # the half that isn't fitted on
-    own_p, own_u = (sum_p[0], sum_u[0] if sum_u[0].any() else sum_u[1]) if other else (sum_p.sum(0), sum_u.sum(0))
-    rest = lambda df: df.where(F.col("half") == 1) if other else df
+    halves = pos[0].any() and pos[1].any()  # one half is fitted on, the other counted
+    own_p, own_u = (pos[0], unl[0]) if halves else (pos.sum(0), unl.sum(0))
+    rest = rows.where("half = 1") if halves else rows
     if prior is None:
-        first = Model(nonnegative_fit(own_p, own_u, 0.5), 0.5)
-        prior = estimate_prior(histogram(rest(p), first), histogram(rest(u), first))
-    model = Model(nonnegative_fit(own_p, sum_u.sum(0), prior), prior)
-    kept = histogram(rest(p), model)[::-1].cumsum()[::-1]
+        prior = estimate_prior(*histogram(rest, Model(nonnegative_fit(own_p, own_u, 0.5), 0.5))[::-1])
+    model = Model(nonnegative_fit(own_p, unl.sum(0), prior), prior)
+    kept = histogram(rest.where("positive"), model)[1][::-1].cumsum()[::-1]
     place = int(np.flatnonzero(kept >= KEPT_POSITIVES * kept[0])[-1])
     return Model(model.weight, prior, place * 2 * SPAN / BINS - SPAN)
 
@@ -196,13 +199,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias("_text")).mapInArrow(run, f"{fields}`{to}` double")
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", training: Callable[[str], Column] | None = None) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", training: Callable[[str], Column] | None = None, most_labels: int = MOST_LABELS, buckets: int = BUCKETS) -> Model:
     """Trusted positives are training rows labelled 1; unlabelled text is every training row, its label unseen.
 
     ``training`` gives a condition on the name of a column of ids. Labels 0 and null are never looked at. A document with
-    several labels counts as positive if any is 1.
+    several labels counts as positive if any is 1. Beyond ``most_labels`` positive ids a share of about as many is
+    taken by hash, so that they can be broadcast; the documents are all read.
     """
     keep = training or (lambda _: F.lit(True))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where(keep("_id"))
     good = labels.where(F.col(quality) == 1).select(F.col(doc_id).alias("_id")).where(keep("_id")).distinct()
-    return fit(rows.join(good, "_id", "left_semi"), rows)
+    share = min(1.0, most_labels / max(1, good.count()))
+    if share < 1:
+        good = good.where(F.xxhash64("_id", F.lit(13)) <= F.lit(int(share * 2**64) - 2**63 - 1))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where(keep("_id"))
+    rows = rows.join(F.broadcast(good.withColumn("_good", F.lit(True))), "_id", "left")  # most_labels ids at most, or nearly
+    half = F.pmod(F.xxhash64("_id", "text", F.lit(11)), F.lit(2)).cast("int")
+    return fit(rows.select("text", half.alias("half"), F.coalesce("_good", F.lit(False)).alias("positive")), buckets=buckets)
