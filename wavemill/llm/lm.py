@@ -1,23 +1,30 @@
-"""Language-model scores from an Elias-Fano trie of word n-grams with absolute discounting.
+"""Language-model scores from sharded Elias-Fano tries of word trigrams with absolute discounting.
 
 A text is a sequence of words and one end. A word seen c times among N training tokens of V kinds has
-probability (c - D) / N; words never seen share one unknown class of probability D * V / N. An n-gram
-in the trie has its own discounted share, plus the context's spare mass times the shorter n-gram's
-probability; other n-grams have the spare mass times it alone (interpolated back-off).
-
-Every training token counts. An n-gram enters the trie if it makes up ``least_share`` or more of all
-training tokens (and occurs ``least_count`` times), by the same rule at any size; so a level has at
-most 1 / least_share entries, which bounds what is gathered and broadcast. Parts of an n-gram are as
-frequent as itself, so levels are counted in turn over n-grams whose parts were kept, and none is
-missed. The vocabulary stays distributed: tokens that back off to single words, and the base score's,
-meet it in a join.
+probability (c - D) / N; words never seen share one unknown class of probability D * V / N. A bigram or
+trigram seen LEAST_COUNT times or more, whatever the size of the corpus, has its own discounted share of
+its context plus the context's spare mass times the shorter gram's probability; others have the spare
+mass times it alone (interpolated back-off). Every training token counts.
+
+Nothing that grows with the corpus is gathered or broadcast:
+
+1. Documents become chunks of token numbers. Each chunk's distinct words go to the vocabulary's shards by
+   hash, and come back with their counts and corpus-wide numbers.
+2. Each chunk sends its trigrams to shards by the middle word, and by the first word too where the middle
+   one is frequent: training counts first, then every document's trigrams as queries. A word that occurs
+   once is in no bigram of LEAST_COUNT, so it is sent as 0.
+3. A shard builds its trie from the counts, then answers query blocks as they stream by: the sum of a
+   document's log-probabilities, in whole quanta, so sums are exact in any order.
+4. The sums meet by chunk.
+
+Blocks are columns of bytes, compressed; a row of the shuffle is a block of some thousand tokens.
 """
 
 from __future__ import annotations
 
 import json
 import mmap
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +33,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wavemill.llm import _text
 from wavemill.llm._store import materialise
 
-ORDER, LEAST_SHARE, LEAST_COUNT, DISCOUNT, QUANTUM, BITS = 3, 2.0**-20, 2, 0.75, 2.0**-11, 21
+LEAST_COUNT, DISCOUNT, QUANTUM, LEAST_BITS = 2, 0.75, 2.0**-11, 21
+#: Bytes of text that are split at once, tokens of a chunk at least, and tokens of a shard on average.
+SPLIT_BYTES, CHUNK_TOKENS, SHARD_TOKENS = 4 << 20, 2 << 20, 1 << 20
 #: Stands for the end of a text; a blank, so no word is spelled like it.
 END = b"\n"
+#: First word of a row of a frequent middle word's bigram counts.
+ALL = 0xFFFFFFFF
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _SELECT = np.array([[([j for j in range(8) if i >> j & 1] + [8] * 8)[k] for k in range(8)] for i in range(256)], np.uint8)
 
@@ -72,119 +83,153 @@ class EliasFano:
             out |= (pair | np.where(s > 0, over, np.uint64(0))) & np.uint64((1 << self.low_bits) - 1)
         return out.astype(np.int64)
 
+    def all(self) -> np.ndarray:
+        """The whole sequence."""
+        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
+        out = (at - np.arange(self.n)) << self.low_bits
+        if self.low_bits:
+            bit = np.arange(self.n) * self.low_bits
+            a, s = bit >> 6, (bit & 63).astype(np.uint64)
+            over = np.where(s > 0, self.low[a + 1] << ((np.uint64(64) - s) & np.uint64(63)), np.uint64(0))
+            out |= (((self.low[a] >> s) | over) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        return out
 
-class Trie:
-    """Levels of n-grams: level k holds the n-grams of k symbols of BITS bits, ordered by parent and symbol.
 
-    A level's sequence is parent << BITS | symbol, its pointers give where each parent's children start,
-    and each n-gram has a quantised log10 probability and each parent a back-off weight.
-    """
+class Level:
+    """Children of parents: a monotone sequence of parent << bits | symbol, and pointers to where each parent's children start."""
 
-    def __init__(self, levels: list[dict]):
-        self.levels = levels
+    def __init__(self, seq: EliasFano, ptr: EliasFano, bits: int):
+        self.seq, self.ptr, self.bits, self._plain = seq, ptr, bits, None
 
     @staticmethod
-    def build(grams: list[tuple[np.ndarray, np.ndarray]], total: int, discount: float = DISCOUNT) -> Trie:
-        """``grams[k - 1]``: sorted packed n-grams of k symbols and their counts; ``total``: tokens.
+    def build(parent: np.ndarray, symbol: np.ndarray, parents: int, bits: int) -> Level:
+        return Level(EliasFano.build((parent.astype(np.int64) << bits) | symbol), EliasFano.build(np.searchsorted(parent, np.arange(parents + 1))), bits)
 
-        Counts that are no entries stay in their contexts' totals, so their mass goes to shorter
-        contexts. Every n-gram's parent must be an entry.
+    def find(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Place of each parent's child, -1 where there is none (or no parent): the successor within the parent's range.
+
+        Where a batch asks for more than the level holds, the level is decoded once and searched as it is.
         """
-        levels, below = [], None
-        for k, (key, c) in enumerate(grams, 1):
-            above = grams[k - 2][1] if k > 1 else np.array([float(total)])
-            parents = len(above)
-            parent = np.searchsorted(grams[k - 2][0], key >> np.uint64(BITS)) if k > 1 else np.zeros(len(key), np.int64)
-            whole = np.maximum(above, np.bincount(parent, c, parents))
-            kept = c - np.minimum(c, discount)
-            spare = (whole - np.bincount(parent, kept, parents)) / np.maximum(whole, 1)
-            p = kept / np.maximum(whole, 1)[parent] if len(key) else kept
-            if k > 1 and len(key):
-                p = p + spare[parent] * 10.0 ** below(key & np.uint64((1 << (BITS * (k - 1))) - 1))
-            low = (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
-            levels.append({
-                "seq": EliasFano.build((parent << BITS) | low), "ptr": EliasFano.build(np.searchsorted(parent, np.arange(parents + 1))),
-                "p": _quantise(np.log10(np.maximum(p, 1e-30))), "spare": _quantise(np.log10(np.maximum(spare, 1e-30))),
-            })
-            below = lambda g, t=Trie(list(levels)), k=k: t.log_prob(g, np.full(len(g), k), to_words=True)[0]
-        return Trie(levels)
-
-    def child(self, k: int, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Index in level k of a parent's child, -1 if there is none: a search for the successor within the parent's range."""
-        if k == 1:  # the first level holds every symbol
-            return np.where(symbol < self.levels[0]["seq"].n, symbol, -1)
         out = np.full(len(parent), -1)
-        if not len(parent) or not self.levels[k - 1]["seq"].n:
+        ask = np.flatnonzero((parent >= 0) & (symbol >= 0))
+        if not len(ask) or not self.seq.n:
+            return out
+        want = (parent[ask] << self.bits) | symbol[ask]
+        if self._plain is None and 4 * len(ask) > self.seq.n:
+            self._plain = self.seq.all()
+        if self._plain is not None:
+            at = np.minimum(np.searchsorted(self._plain, want), self.seq.n - 1)
+            hit = self._plain[at] == want
+            out[ask[hit]] = at[hit]
             return out
-        seq, ptr = self.levels[k - 1]["seq"], self.levels[k - 1]["ptr"]
-        lo, hi = ptr[parent], ptr[parent + 1]
-        end, want = hi.copy(), (parent << BITS) | symbol
+        lo, hi = self.ptr[parent[ask]], self.ptr[parent[ask] + 1]
+        end = hi.copy()
         live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
-            less = seq[mid] < want[live]
+            less = self.seq[mid] < want[live]
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
         some = np.flatnonzero(lo < end)
-        hit = some[seq[lo[some]] == want[some]]
-        out[hit] = lo[hit]
+        hit = some[self.seq[lo[some]] == want[some]]
+        out[ask[hit]] = lo[hit]
         return out
 
-    def log_prob(self, grams: np.ndarray, length: np.ndarray, to_words: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """For n-grams of up to as many symbols as there are levels: log10 probability of the last symbol, and whether
-        it backed off to the single word, in which case the word's own probability is still to be added (unless ``to_words``)."""
-        out, single = np.zeros(len(grams)), np.zeros(len(grams), bool)
-        todo, left = np.arange(len(grams)), length.copy()
-        while len(todo):
-            alone = left[todo] == 1
-            single[todo[alone]] = True
-            if to_words:
-                g = grams[todo[alone]] & np.uint64((1 << BITS) - 1)
-                at = self.child(1, np.zeros(len(g), np.int64), g.astype(np.int64))
-                out[todo[alone]] += _restore(self.levels[0]["p"][at])
-            todo = todo[~alone]
-            n, g = left[todo], grams[todo]
-            node, context = np.zeros(len(todo), np.int64), np.full(len(todo), -1)
-            for k in range(1, int(n.max(initial=0)) + 1):
-                on = np.flatnonzero((n >= k) & (node >= 0))
-                last = n[on] == k
-                context[on[last]] = node[on[last]]
-                node[on] = self.child(k, node[on], ((g[on] >> (BITS * (n[on] - k)).astype(np.uint64)) & np.uint64((1 << BITS) - 1)).astype(np.int64))
-            for k in range(2, len(self.levels) + 1):
-                a = np.flatnonzero((node >= 0) & (n == k))
-                out[todo[a]] += _restore(self.levels[k - 1]["p"][node[a]])
-                a = np.flatnonzero((node < 0) & (n == k) & (context >= 0))
-                out[todo[a]] += _restore(self.levels[k - 1]["spare"][context[a]])
-            todo = todo[node < 0]
-            left[todo] -= 1
-        return out, single
-
-    def spare_of(self, grams: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """log10 of the mass that a word outside the trie gets after these contexts, over all lengths down to the word alone."""
-        out, left = np.zeros(len(grams)), length.copy()
-        while (left > 0).any():
-            todo = np.flatnonzero(left > 0)
-            n, node = left[todo], np.zeros(len(todo), np.int64)
-            for k in range(1, int(n.max()) + 1):
-                on = np.flatnonzero((n >= k) & (node >= 0))
-                node[on] = self.child(k, node[on], ((grams[todo[on]] >> (BITS * (n[on] - k)).astype(np.uint64)) & np.uint64((1 << BITS) - 1)).astype(np.int64))
-            for k in range(1, len(self.levels)):
-                a = np.flatnonzero((node >= 0) & (n == k))
-                out[todo[a]] += _restore(self.levels[k]["spare"][node[a]])
-            left[todo] -= 1
-        return out
+
+class Trie:
+    """Trigrams by their middle word: ``heads`` are middle words, under a head stand its successors (``two``, bigrams) and its
+    predecessors (``pre``, contexts of two words), and under a context its successors (``three``). Quantised: a bigram's and a
+    trigram's log10 probability, a head's and a context's spare mass. ``words`` maps corpus-wide numbers to the trie's own."""
+
+    LEVELS, VALUES = ("words", "heads", "two", "pre", "three"), ("p2", "p3", "spare1", "spare2")
+
+    def __init__(self, levels: dict[str, Level], values: dict[str, np.ndarray]):
+        self.levels, self.values = levels, values
+
+    @staticmethod
+    def build(b: np.ndarray, a: np.ndarray, c: np.ndarray, n: np.ndarray, q1: np.ndarray, discount: float = DISCOUNT, least: int = LEAST_COUNT) -> Trie:
+        """From counts n of trigrams (a, b, c), 0 for a rare or missing word, and each c's quantised probability q1. Rows may repeat.
+        Where a head has rows with a = ALL, those are its bigram counts; else they are the sums over a."""
+        order = np.lexsort((c, a, b))
+        b, a, c, n, q1 = b[order].astype(np.int64), a[order].astype(np.int64), c[order].astype(np.int64), n[order].astype(np.int64), q1[order]
+        first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1]))) if len(b) else np.zeros(0, np.int64)
+        b, a, c, q1 = b[first], a[first], c[first], q1[first]
+        n = np.add.reduceat(n, first) if len(first) else n
+        whole = a == ALL
+        hot = np.unique(b[whole])
+        pick = whole | ~np.isin(b, hot)
+        order = np.flatnonzero(pick)[np.lexsort((c[pick], b[pick]))]
+        first = np.flatnonzero(np.append(True, (b[order][1:] != b[order][:-1]) | (c[order][1:] != c[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+        b2, c2, q2 = b[order][first], c[order][first], q1[order][first]
+        n2 = np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+        def shares(parent, n, kept):  # discounted shares, and each parent's spare mass
+            total = np.bincount(parent, n)
+            own = np.where(kept, n - discount, 0.0)
+            return own / total[parent] if len(n) else own, (total - np.bincount(parent, own)) / np.maximum(total, 1)
+
+        heads, at = np.unique(b2, return_inverse=True)
+        keep2 = (c2 > 0) & (n2 >= least)
+        share, spare1 = shares(at, n2, keep2) if len(b2) else (n2, n2)
+        p2 = share + (spare1[at] if len(b2) else 0) * 10.0 ** (-QUANTUM * q2.astype(np.float64))
+        some = np.unique(at[keep2])  # heads with bigrams
+        head_of, spare1 = heads[some], spare1[some] if len(some) else np.zeros(0)
+        two_b, two_c, p2 = b2[keep2], c2[keep2], p2[keep2]
+        # Contexts of two words.
+        t = np.flatnonzero(~whole & (a > 0))
+        b, a, c, n = b[t], a[t], c[t], n[t]
+        start = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])) if len(b) else np.zeros(0, bool)
+        ctx = np.cumsum(start) - 1
+        keep3 = (c > 0) & (n >= least)
+        share, spare2 = shares(ctx, n, keep3) if len(b) else (n, n)
+        with3 = np.unique(ctx[keep3])
+        pre_b, pre_a = b[start][with3], a[start][with3]
+        three_ctx, b3, c3 = np.searchsorted(with3, ctx[keep3]), b[keep3], c[keep3]
+        # A trigram's bigram occurs as often at least, so it is an entry.
+        pair = (two_b << 32) | two_c
+        below = p2[np.searchsorted(pair, (b3 << 32) | c3)] if len(b3) else np.zeros(0)
+        p3 = share[keep3] + (spare2[ctx[keep3]] if len(b3) else 0) * below
+        spare2 = spare2[with3] if len(with3) else np.zeros(0)
+        words = np.unique(np.concatenate([head_of, two_c, pre_a, c3]))
+        bits = max(LEAST_BITS, len(words).bit_length())
+        loc = lambda x: np.searchsorted(words, x)
+        zero = lambda x: np.zeros(len(x), np.int64)
+        levels = {
+            "words": Level.build(zero(words), words, 1, 40), "heads": Level.build(zero(head_of), loc(head_of), 1, bits),
+            "two": Level.build(np.searchsorted(head_of, two_b), loc(two_c), len(head_of), bits), "pre": Level.build(np.searchsorted(head_of, pre_b), loc(pre_a), len(head_of), bits),
+            "three": Level.build(three_ctx, loc(c3), len(pre_b), bits),
+        }
+        values = {"p2": p2, "p3": p3, "spare1": spare1, "spare2": spare2}
+        return Trie(levels, {k: quantise(np.asarray(v, np.float64)) for k, v in values.items()})
+
+    def cost(self, b: np.ndarray, a: np.ndarray, c: np.ndarray, q1: np.ndarray) -> np.ndarray:
+        """Quanta of -log10 p(c | a b), of corpus-wide numbers; q1: those of p(c)."""
+        lv, v = self.levels, self.values
+
+        def child(level, parent, symbol):  # equal neighbours are looked up once
+            new = np.flatnonzero(np.append(True, (parent[1:] != parent[:-1]) | (symbol[1:] != symbol[:-1]))) if len(parent) else np.zeros(0, np.int64)
+            return np.repeat(level.find(parent[new], symbol[new]), np.diff(np.append(new, len(parent))))
+
+        local = lambda x: child(lv["words"], np.where(x > 0, 0, -1), x)
+        b, a, c = (local(x.astype(np.int64)) for x in (b, a, c))
+        head = child(lv["heads"], np.where(b >= 0, 0, -1), b)
+        two, ctx = child(lv["two"], head, c), child(lv["pre"], head, a)
+        three = child(lv["three"], ctx, c)
+        get = lambda name, at: np.append(v[name].astype(np.int64), 0)[at]  # noqa: E731  -1 takes the 0
+        bigram = np.where(two >= 0, get("p2", two), get("spare1", head) + q1)
+        return np.where(three >= 0, get("p3", three), get("spare2", ctx) + bigram)
 
     def to_bytes(self) -> bytes:
-        arrays, head = [], []
-        for lv in self.levels:
-            one = {}
-            for name in ("seq", "ptr"):
-                e = lv[name]
-                one[name] = [e.n, e.low_bits, *[_put(arrays, x) for x in (e.low, e.high, e.rank)]]
-            head.append(one | {name: _put(arrays, lv[name]) for name in ("p", "spare")})
+        """One flat string: a header, then the arrays, each at a multiple of 8."""
+        arrays, head = [], {}
+        for name in self.LEVELS:
+            lv = self.levels[name]
+            head[name] = [lv.bits, *[[e.n, e.low_bits, *[_put(arrays, x) for x in (e.low, e.high, e.rank)]] for e in (lv.seq, lv.ptr)]]
+        for name in self.VALUES:
+            head[name] = _put(arrays, self.values[name])
         meta = json.dumps(head).encode()
-        return len(meta).to_bytes(8, "little") + meta + b" " * (-len(meta) % 8) + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+        return len(meta).to_bytes(8, "little") + meta + b" " * (-len(meta) % 8) + b"".join(x.tobytes() + bytes(-x.nbytes % 8) for x in arrays)
 
     @staticmethod
     def load(data: bytes | mmap.mmap) -> Trie:
@@ -196,8 +241,8 @@ class Trie:
         size = int.from_bytes(room[:8], "little")
         head, base = json.loads(room[8 : 8 + size]), 8 + size + -size % 8
         get = lambda spec: np.frombuffer(room, spec[0], spec[1], base + spec[2])
-        levels = [{n: EliasFano(x[n][0], x[n][1], *map(get, x[n][2:])) for n in ("seq", "ptr")} | {n: get(x[n]) for n in ("p", "spare")} for x in head]
-        return Trie(levels)
+        level = lambda x: Level(*[EliasFano(e[0], e[1], *map(get, e[2:])) for e in x[1:]], x[0])
+        return Trie({n: level(head[n]) for n in Trie.LEVELS}, {n: get(head[n]) for n in Trie.VALUES})
 
 
 def _put(arrays: list, a: np.ndarray) -> list:
@@ -206,12 +251,27 @@ def _put(arrays: list, a: np.ndarray) -> list:
     return [a.dtype.str, len(a), at]
 
 
-def _quantise(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-x / QUANTUM), 0, 65535).astype(np.uint16)
+def quantise(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-30)) / QUANTUM), 0, 65535).astype(np.uint16)
+
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte by byte of their items, compressed."""
+    body = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in columns)
+    head = json.dumps([len(columns[0]), *[x.dtype.str for x in columns]]).encode()
+    return len(head).to_bytes(2, "little") + head + (pa.Codec("zstd", 1).compress(body, asbytes=True) if body else b"")
 
-def _restore(q: np.ndarray) -> np.ndarray:
-    return -QUANTUM * q.astype(np.float64)
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    size = int.from_bytes(data[:2], "little")
+    n, *kinds = json.loads(data[2 : 2 + size])
+    kinds = [np.dtype(k) for k in kinds]
+    body = pa.Codec("zstd").decompress(data[2 + size :], n * sum(k.itemsize for k in kinds), asbytes=True) if n else b""
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * k.itemsize, at).reshape(k.itemsize, n).T).view(k).reshape(n))
+        at += n * k.itemsize
+    return out
 
 
 def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,144 +285,276 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[order], row[order]
 
 
-def _packed(h: np.ndarray, row: np.ndarray, frequent: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: symbol (-1 if it isn't frequent), the packed run of frequent words up to it, and the run's length (order at most)."""
-    at = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
-    known = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
-    symbol = np.where(known, at, -1)
-    gram, length = np.where(known, at, 0).astype(np.uint64), known.astype(np.int64)
-    for j in range(1, order):
-        before = np.full(len(h), -1)
-        before[j:] = np.where(row[j:] == row[: len(h) - j], symbol[: len(h) - j], -1)
-        on = (length == j) & (before >= 0)
-        gram[on] |= before[on].astype(np.uint64) << np.uint64(BITS * j)
-        length[on] += 1
-    return symbol, gram, length
-
-
-def _count(docs: DataFrame, keys: Callable, to: str) -> DataFrame:
-    """(key, c): occurrences of what ``keys(hash, row)`` gives over docs, summed per chunk before the shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            for _, _, buf, offsets in _text.chunks(batch.column(0), 8 << 20):
-                key, n = np.unique(keys(*_tokens(buf, offsets)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], [to, "c"])
-
-    return docs.select("text").mapInArrow(run, f"{to} long, c long").groupBy(to).agg(F.sum("c").alias("c"))
-
-
-def train(docs: DataFrame, *, order: int = ORDER, least_share: float = LEAST_SHARE, least_count: int = LEAST_COUNT) -> tuple[DataFrame, int, np.ndarray, Trie]:
-    """From texts: the vocabulary (h, c) as a table, the number of tokens, the frequent words' hashes and the trie over their places."""
-    vocabulary = materialise(_count(docs, lambda h, row: h, "h"), "vocabulary")
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = max(least_count, least_share * total)
-
-    def kept(counts: DataFrame, name: str):
-        rows = counts.where(F.col("c") >= F.lit(float(least))).toPandas()  # 1 / least_share rows at most
-        key, c = rows[name].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.float64)
-        by = np.argsort(key)
-        return key[by], c[by]
-
-    frequent, c = kept(vocabulary, "h")
-    assert len(frequent) < 1 << BITS
-    grams = [(np.arange(len(frequent), dtype=np.uint64), c)]
-    sc = docs.sparkSession.sparkContext
-    words = sc.broadcast(frequent)
-    for k in range(2, order + 1):
-        shorter = sc.broadcast(grams[-1][0])
-
-        def keys(h, row, k=k, shorter=shorter):
-            _, gram, length = _packed(h, row, words.value, k)
-            g = gram[length == k]
-            if k > 2 and len(g):  # both parts of k - 1 words must have been kept
-                old = shorter.value
-                has = lambda x: old[np.minimum(np.searchsorted(old, x), len(old) - 1)] == x if len(old) else np.zeros(len(x), bool)
-                g = g[has(g >> np.uint64(BITS))]
-                g = g[has(g & np.uint64((1 << (BITS * (k - 1))) - 1))]
-            return g
-
-        grams.append(kept(_count(docs, keys, "gram"), "gram"))
-    return vocabulary, total, frequent, Trie.build(grams, total)
-
-
-def token_chunks(docs: DataFrame, trained: Column, frequent: np.ndarray, trie: Trie, order: int) -> DataFrame:
-    """Two kinds of rows of docs (doc_id, text). For each chunk of documents and word: h, base and ids (documents, counted from base), times (its count in each
-    document) and single (how many of them back off to the word alone). For each document, with a null h: its id in base, doc_id,
-    trained and fine, the trie's part of its score."""
+def chunk_table(docs: DataFrame, trained: Column) -> DataFrame:
+    """(chunk, words, tokens, docs, doc_id, n_tokens, n_train): distinct words' hashes in order; each token's place among them; per document its
+    length and whether it is trained on; the documents' ids; and counts of tokens. A chunk holds whole documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, trie.to_bytes()))  # bounded: see train()
+    names = ["chunk", "words", "tokens", "docs", "doc_id", "n_tokens", "n_train"]
+
+    def row_of(held):
+        words, place = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        size, good = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        ids = pa.chunked_array([x[3] for x in held]).combine_chunks()
+        cells = [pa.array([held[0][4]], pa.int64()), pa.array([words.tobytes()], pa.binary()), pa.array([pack(place.astype(np.uint32))], pa.binary()), pa.array([pack(size.astype(np.uint32), good)], pa.binary())]
+        cells += [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([len(place)], pa.int64()), pa.array([int(size[good > 0].sum())], pa.int64())]
+        return pa.RecordBatch.from_arrays(cells, names)
 
     def run(batches):
-        words, levels = shared.value[0], Trie.load(shared.value[1])
+        held, n = [], 0
         for batch in batches:
-            for lo, hi, buf, offsets in _text.chunks(batch.column("text"), 4 << 20):
+            for lo, hi, buf, offsets in _text.chunks(batch.column("text"), SPLIT_BYTES):
                 h, row = _tokens(buf, offsets)
-                symbol, gram, length = _packed(h, row, words, order)
-                # A word outside the trie after a context in it takes the context's spare mass.
-                p, single = np.zeros(len(h)), np.ones(len(h), bool)
-                for n in range(2, order + 1):  # each distinct run once
-                    on = np.flatnonzero(length == n)
-                    want, which = np.unique(gram[on], return_inverse=True)
-                    part, alone = levels.log_prob(want, np.full(len(want), n))
-                    p[on], single[on] = part[which], alone[which]
-                odd = np.flatnonzero((symbol < 0) & np.append(False, (row[1:] == row[:-1]) & (length[:-1] > 0)))
-                for n in range(1, order + 1):  # each distinct context once
-                    on = odd[length[odd - 1] == n]
-                    want, which = np.unique(gram[on - 1] & np.uint64((1 << (BITS * min(n, order - 1))) - 1), return_inverse=True)
-                    p[on] = levels.spare_of(want, np.full(len(want), min(n, order - 1)))[which]
-                by = np.argsort(h, kind="stable")  # rows stay in order within a word
-                hs, rs, ss = h[by], row[by], single[by]
-                fresh = np.flatnonzero(np.append(True, (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1])))
-                times, singles = np.diff(np.append(fresh, len(hs))), np.add.reduceat(ss.astype(np.int64), fresh)
-                ph, pr = hs[fresh], rs[fresh]
-                first = np.flatnonzero(np.append(True, ph[1:] != ph[:-1]))
-                ends = pa.array(np.append(first, len(ph)).astype(np.int32))
-                m, docs_here = len(first), batch.slice(lo, hi - lo)
-                base = docs_here.column("id")[0].as_py()
-                lists = [pa.array(np.full(m, base))] + [pa.ListArray.from_arrays(ends, x) for x in (pa.array((docs_here.column("id").to_numpy()[pr] - base).astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(singles.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([pa.array(ph[first].view(np.int64)), *lists, pa.nulls(m, batch.column("doc_id").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.float64())], names)
-                m = hi - lo
-                none = pa.nulls(m, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), docs_here.column("id"), none, none, none, docs_here.column("doc_id"), docs_here.column("trained"), pa.array(np.bincount(row, p, m))], names)
-
-    names = ["h", "base", "ids", "times", "single", "doc_id", "trained", "fine"]
+                part = batch.slice(lo, hi - lo)
+                held.append((h, np.bincount(row, minlength=hi - lo), part.column("trained").to_numpy(zero_copy_only=False).astype(np.uint8), part.column("doc_id"), part.column("id")[0].as_py()))
+                n += len(h)
+                if n >= CHUNK_TOKENS:
+                    yield row_of(held)
+                    held, n = [], 0
+        if held:
+            yield row_of(held)
+
     source = docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text", F.coalesce(trained, F.lit(False)).alias("trained"))
-    return source.mapInArrow(run, f"h long, base long, ids array<int>, times array<int>, single array<int>, doc_id {kind}, trained boolean, fine double")
+    return source.mapInArrow(run, f"chunk long, words binary, tokens binary, docs binary, doc_id array<{kind}>, n_tokens long, n_train long")
 
 
-def _sums(joined: DataFrame) -> DataFrame:
-    """(id, tokens, known, base, fine) partial sums per task and document, of rows (base, ids, times, single, c, plain, fine)."""
+def _groups(batches, key: str) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Runs of rows with one key, as they stream by."""
+    rows = (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+    ahead = next(rows, None)
+    while ahead is not None:
+        now = ahead[key]
 
-    def run(batches):
-        def out(parts):
-            ids, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return (ids, *[np.bincount(inverse, np.concatenate([p[j] for p in parts]), len(ids)) for j in range(1, 5)])
+        def run():
+            nonlocal ahead
+            while ahead is not None and ahead[key] == now:  # noqa: B023
+                row, ahead = ahead, None
+                yield row
+                ahead = next(rows, None)
+
+        group = run()
+        yield now, group
+        for _ in group:
+            pass
+
+
+def _table(rows: list[tuple], spec: str, kinds: dict) -> pa.RecordBatch:
+    names = [x.split()[0] for x in spec.split(", ")]
+    basic = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    types = [kinds.get(x.split()[0]) or basic[x.split()[1]] for x in spec.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _dealt(df: DataFrame, n: int, key: str, *then: str) -> DataFrame:
+    return df.repartition(n, key).sortWithinPartitions(key, *then)
 
-        held, size = [], 0
+
+def counts(chunks: DataFrame, shards: int) -> DataFrame:
+    """(chunk, shard, data, kinds): numbers and training counts of a chunk's words, in the order of shards the chunk's own order. Words not seen in
+    training get 0. ``kinds``, summed over all rows, is the number of words seen."""
+    spec = "shard int, chunk long, words binary, n binary"
+
+    def send(batches):
         for batch in batches:
-            n = pa.compute.list_value_length(batch.column("ids")).to_numpy().astype(np.int64)
-            t, s = (batch.column(c).flatten().to_numpy().astype(np.float64) for c in ("times", "single"))
-            first, c, plain, fine = (np.repeat(batch.column(x).to_numpy(), n) for x in ("base", "c", "plain", "fine"))
-            held.append((first + batch.column("ids").flatten().to_numpy(), t, t * (c > 0), t * plain, s * fine))
-            size += len(t)
-            if size > 1 << 21:
-                held = [out(held)]
-                size = len(held[0][0])
-                if size > 1 << 20:
-                    yield _flush(held.pop())
-                    size = 0
-        if held:
-            yield _flush(out(held))
+            for r in batch.to_pylist():
+                words, (place,), (size, good) = np.frombuffer(r["words"], np.uint64), unpack(r["tokens"]), unpack(r["docs"])
+                n = np.bincount(place[np.repeat(good > 0, size)], minlength=len(words)).astype(np.uint32)
+                # Hashes are in order, so shards are ranges of them.
+                cut = np.searchsorted(((words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1))
+                for s, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    if hi > lo:
+                        yield _table([(s, r["chunk"], words[lo:hi].tobytes(), pack(n[lo:hi]))], spec, {})
+
+    out = "chunk long, shard int, data binary, kinds long"
+
+    def count(batches):
+        for shard, group in _groups(batches, "shard"):
+            rows = [(r["chunk"], np.frombuffer(r["words"], np.uint64), unpack(r["n"])[0]) for r in group]
+            words, at = np.unique(np.concatenate([w for _, w, _ in rows]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([n for _, _, n in rows])).astype(np.int64)
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-c, kind="stable")] = np.arange(len(words))
+            number = np.where(c > 0, 1 + rank * shards + shard, 0)
+            if len(number) and number.max() >= ALL:
+                raise ValueError("more kinds of words than 32-bit numbers")
+            upto, kinds = 0, int((c > 0).sum())
+            for chunk, w, _ in rows:
+                mine = at[upto : upto + len(w)]
+                upto += len(w)
+                yield _table([(chunk, shard, pack(number[mine].astype(np.uint32), np.minimum(c[mine], ALL).astype(np.uint32)), kinds)], out, {})
+                kinds = 0
+
+    return _dealt(chunks.select("chunk", "words", "tokens", "docs").mapInArrow(send, spec), shards, "shard").mapInArrow(count, out)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    return _text.mix(x.astype(np.uint64) + np.uint64(_text.BASE))
+
+
+def blocks(chunks: DataFrame, counted: DataFrame, shards: int, total: int, kinds: int, shard_tokens: int) -> DataFrame:
+    """(shard, kind, chunk, data, doc_id) for each chunk: kind 0, training counts of a shard's trigrams; 1, its queries; 2, for the last step, what
+    is known of the documents without a shard."""
+    id_type = chunks.schema["doc_id"].dataType.simpleString()
+    whole = F.lit(None).cast("binary")
+    first = chunks.select("chunk", F.lit(-1).alias("shard"), "tokens", "docs", "doc_id")
+    then = counted.select("chunk", "shard", F.col("data").alias("tokens"), whole.alias("docs"), F.lit(None).cast(id_type).alias("doc_id"))
+    both = _dealt(first.unionByName(then), max(1, shards), "chunk", "shard")
+    spec = "shard int, kind int, chunk long, data binary, doc_id ids"
+
+    def run(batches):
+        for chunk, group in _groups(batches, "chunk"):
+            head, *rest = list(group)
+            yield from one(chunk, head, [unpack(r["tokens"]) for r in rest])
+
+    def row(shard, kind, chunk, *columns):
+        return _table([(shard, kind, chunk, pack(*columns), None)], spec, {"doc_id": held[0]})
+
+    held: list = [None]
+
+    def one(chunk, head, parts):
+        number, c = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32) for k in (0, 1))
+        (place,), (size, good) = unpack(head["tokens"]), unpack(head["docs"])
+        doc = np.repeat(np.arange(len(size)), size)
+        plain = np.log10(c + 1.0)[place]
+        p1 = np.where(c > 0, (c - DISCOUNT) / max(total, 1), DISCOUNT * kinds / total if total else 1.0)
+        q1 = quantise(p1)
+        known = np.where(c >= LEAST_COUNT, number, 0)
+        own, small = np.unique(known, return_inverse=True)  # places in own are smaller numbers of the same order
+        w = small[place].astype(np.int64)
+        rare = 0 if len(own) and own[0] == 0 else -1
+        b, a = np.full(len(w), -2), np.full(len(w), -2)
+        b[1:] = np.where(doc[1:] == doc[:-1], w[:-1], -2)
+        a[2:] = np.where(doc[2:] == doc[:-2], w[:-2], -2)
+        asks = (b >= 0) & (b != rare)
+        alone = np.bincount(doc[~asks], q1[place[~asks]], len(size)).astype(np.uint64)
+        facts = pack(np.bincount(doc, plain, len(size)) - size * np.log10(total + kinds + 1), size, np.bincount(doc, c[place] > 0, len(size)).astype(np.uint32), good, alone)
+        ids = head["doc_id"]
+        yield _table([(int(_mix(np.array([chunk]))[0] % np.uint64(shards)), 2, chunk, facts, ids)], spec, {"doc_id": held[0]})
+        t = np.flatnonzero(asks)
+        if not len(t):
+            return
+        # Numbers of own, shifted so that 0 is a missing or rare word.
+        full = np.append(0, own) if rare < 0 else own
+        lift = 1 if rare < 0 else 0
+        b, a, z = b[t] + lift, np.where(a[t] >= 0, a[t] + lift, 0), w[t] + lift
+        bits = len(full).bit_length()
+        order = np.argsort((b << 2 * bits) | (a << bits) | z) if 3 * bits < 64 else np.lexsort((z, a, b))
+        b, a, z, t = b[order], a[order], z[order], t[order]
+        # Frequent middle words have a number of shards, dealt by the first word.
+        often = np.zeros(len(full), np.int64)
+        often[small + lift] = np.where(c >= LEAST_COUNT, c, 0)
+        spread = (-(-often // shard_tokens)).clip(1)
+        fb, fa, fz = full[b].astype(np.uint32), full[a].astype(np.uint32), full[z].astype(np.uint32)
+        place_of = lambda x, part: (_mix(x.astype(np.uint64) * np.uint64(0x100000001B3) ^ _mix(part)) % np.uint64(shards)).astype(np.int64)
+        to = place_of(fb, np.where(spread[b] > 1, (_mix(fa) % spread[b].astype(np.uint64)).astype(np.int64), 0))
+        q, d, learn = q1[place[t]], doc[t].astype(np.uint32), good[doc[t]] > 0
+        new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (z[1:] != z[:-1]))
+        gram = np.cumsum(new) - 1
+        n = np.bincount(gram, learn)
+        # Of equal trigrams with a rare last word the words differ, and so may their probabilities; it isn't used in counts.
+        heads = np.flatnonzero(new)
+        some = n > 0
+        yield from dealt(chunk, 0, to[heads][some], fb[heads][some], fa[heads][some], fz[heads][some], n[some].astype(np.uint32), q[heads][some])
+        wide = np.flatnonzero(some & (spread[b[heads]] > 1))
+        if len(wide):
+            hb, hz, hn, hq = b[heads][wide], z[heads][wide], n[wide], q[heads][wide]
+            key, at, inverse = np.unique((hb << bits) | hz, return_index=True, return_inverse=True)
+            sums, times = np.bincount(inverse, hn).astype(np.uint32), spread[hb[at]]
+            who = np.repeat(np.arange(len(key)), times)
+            part = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+            # Two of a word's places may be one shard, which gets the counts once.
+            goes = np.unique(who * shards + place_of(full[hb[at]].astype(np.uint32)[who], part))
+            who, shard = np.divmod(goes, shards)
+            hb, hz = full[hb[at]].astype(np.uint32)[who], full[hz[at]].astype(np.uint32)[who]
+            yield from dealt(chunk, 0, shard, hb, np.full(len(who), ALL, np.uint32), hz, sums[who], hq[at][who])
+        yield from dealt(chunk, 1, to, fb, fa, fz, d, q)
+
+    def dealt(chunk, kind, to, *columns):
+        order = np.argsort(to.astype(np.uint16) if shards < 1 << 16 else to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(shards + 1))
+        columns = [x[order] for x in columns]
+        for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            yield row(s, kind, chunk, *[x[cut[s] : cut[s + 1]] for x in columns])
+
+    def typed(batches):
+        def seen():
+            for batch in batches:
+                held[0] = batch.schema.field("doc_id").type
+                yield batch
+
+        yield from run(seen())
+
+    return both.mapInArrow(typed, spec.replace("ids", id_type))
+
+
+def answers(sent: DataFrame, shards: int) -> DataFrame:
+    """(chunk, kind, data, doc_id): kind 0 is what blocks says of documents, 1 a shard's sums for a chunk's documents."""
+    id_type = sent.schema["doc_id"].dataType.simpleString()
+    spec = "chunk long, kind int, data binary, doc_id ids"
+
+    def run(batches):
+        kinds = {}
+
+        def seen():
+            for batch in batches:
+                kinds["doc_id"] = batch.schema.field("doc_id").type
+                yield batch
+
+        for _, group in _groups(seen(), "shard"):
+            counted, trie = [], None
+            for r in group:
+                if r["kind"] == 2:
+                    yield _table([(r["chunk"], 0, r["data"], r["doc_id"])], spec, kinds)
+                elif r["kind"] == 0:
+                    counted.append(unpack(r["data"]))
+                    if sum(len(x[0]) for x in counted[1:]) > max(1 << 22, len(counted[0][0])):  # equal trigrams of chunks fall together
+                        counted = [_merged(counted)]
+                else:
+                    if trie is None:
+                        columns = [np.concatenate([x[k] for x in counted]) for k in range(5)] if counted else [np.zeros(0, np.uint32)] * 4 + [np.zeros(0, np.uint16)]
+                        trie, counted = Trie.load(Trie.build(*columns).to_bytes()), []
+                    b, a, c, doc, q1 = unpack(r["data"])
+                    sums = np.bincount(doc, trie.cost(b, a, c, q1))
+                    some = np.flatnonzero(sums)
+                    yield _table([(r["chunk"], 1, pack(some.astype(np.uint32), sums[some].astype(np.uint64)), None)], spec, kinds)
+
+    return _dealt(sent, shards, "shard", "kind").mapInArrow(run, spec.replace("ids", id_type))
+
+
+def _merged(parts: list) -> list[np.ndarray]:
+    b, a, c, n, q1 = (np.concatenate([x[k] for x in parts]) for k in range(5))
+    order = np.lexsort((c, a, b))
+    b, a, c, n, q1 = (x[order] for x in (b, a, c, n, q1))
+    first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+    return [b[first], a[first], c[first], np.add.reduceat(n.astype(np.int64), first), q1[first]]
+
+
+def totals(answered: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, trained, n_tokens, n_known, base_score, quanta) of each document."""
+    kind = answered.schema["doc_id"].dataType.elementType.simpleString()
+    spec = f"doc_id {kind}, trained boolean, n_tokens long, n_known long, base_score double, quanta long"
+
+    def run(batches):
+        id_type = []
 
-    return joined.select("base", "ids", "times", "single", "c", "plain", "fine").mapInArrow(run, "id long, tokens double, known double, base double, fine double")
+        def seen():
+            for batch in batches:
+                id_type.append(batch.schema.field("doc_id").type.value_type)
+                yield batch
 
+        for _, group in _groups(seen(), "chunk"):
+            for r in group:
+                if r["kind"] == 0:
+                    ids, (base, size, known, good, quanta) = r["doc_id"], unpack(r["data"])
+                    quanta = quanta.astype(np.int64)
+                else:
+                    at, sums = unpack(r["data"])
+                    quanta[at] += sums.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type[-1]), pa.array(good > 0), *[pa.array(x.astype(np.int64)) for x in (size, known)], pa.array(base), pa.array(quanta)], [x.split()[0] for x in spec.split(", ")])
 
-def _flush(x):
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["id", "tokens", "known", "base", "fine"])
+    return _dealt(answered, parts, "chunk", "kind").mapInArrow(run, spec)
 
 
-def score(docs: DataFrame, training: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", *, order: int = ORDER, least_share: float = LEAST_SHARE, least_count: int = LEAST_COUNT) -> DataFrame:
+def score(docs: DataFrame, training: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", *, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, trained, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     ``training`` gives the condition on the name of the id column that a training row meets. Null texts
@@ -370,17 +562,11 @@ def score(docs: DataFrame, training: Callable[[str], Column], doc_id: str = "doc
     training rows every token is unknown, and both scores are 0. Other columns are ignored.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    vocabulary, n, frequent, trie = train(docs.where(F.coalesce(training("doc_id"), F.lit(False))), order=order, least_share=least_share, least_count=least_count)
-    v = vocabulary.count()
-    tokens = materialise(token_chunks(docs, training("doc_id"), frequent, trie, order), "tokens")
-    names = tokens.where("h IS NULL").select(F.col("base").alias("id"), "doc_id", "trained", F.col("fine").alias("context"))
-    c = F.coalesce("c", F.lit(0))
-    unknown = float(np.log10(DISCOUNT * v / n)) if n else 0.0
-    fine = F.when(c > 0, F.log10((c - DISCOUNT) / max(n, 1))).otherwise(F.lit(unknown))
-    joined = tokens.where("h IS NOT NULL").select("h", "base", "ids", "times", "single").join(vocabulary, "h", "left").select("base", "ids", "times", "single", c.alias("c"), F.log10(c + 1.0).alias("plain"), fine.alias("fine"))
-    total = _sums(joined).groupBy("id").agg(*[F.sum(x).alias(x) for x in ("tokens", "known", "base", "fine")])
-    unit = float(np.log10(n + v + 1))
-    return names.join(total, "id").select(
-        "doc_id", "trained", F.col("tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("tokens") * unit).alias("base_score"), (F.col("context") + F.col("fine")).alias("score"),
-    )
+    chunks = materialise(chunk_table(docs, training("doc_id")), "chunks")
+    n_all, n = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    shards = max(1, -(-n_all // shard_tokens))
+    counted = materialise(counts(chunks, shards), "counts")
+    v = counted.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    answered = materialise(answers(blocks(chunks, counted, shards, n, v, shard_tokens), shards), "answers")
+    out = totals(answered, shards)
+    return out.select("doc_id", "trained", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (-QUANTUM * F.col("quanta")).alias("score"))
