@@ -274,6 +274,19 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_grams(b: np.ndarray, a: np.ndarray, c: np.ndarray, x: np.ndarray, q1: np.ndarray) -> bytes:
+    """Rows (b, a, c, x, q1); c and q1 stand once in a list of their pairs."""
+    pairs, at = np.unique((c.astype(np.uint64) << np.uint64(16)) | q1, return_inverse=True)
+    rows = pack(b, a, at.astype(np.uint16 if len(pairs) < 1 << 16 else np.uint32), x)
+    return len(rows).to_bytes(4, "little") + rows + pack((pairs >> np.uint64(16)).astype(np.uint32), (pairs & np.uint64(0xFFFF)).astype(np.uint16))
+
+
+def unpack_grams(data: bytes) -> list[np.ndarray]:
+    size = int.from_bytes(data[:4], "little")
+    (b, a, at, x), (c, q1) = unpack(data[4 : 4 + size]), unpack(data[4 + size :])
+    return [b, a, c[at], x, q1[at]]
+
+
 def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each row's words and its end, in order."""
     h, row = _text.word_hashes(buf, offsets)
@@ -295,7 +308,7 @@ def chunk_table(docs: DataFrame, trained: Column) -> DataFrame:
         words, place = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
         size, good = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
         ids = pa.chunked_array([x[3] for x in held]).combine_chunks()
-        cells = [pa.array([held[0][4]], pa.int64()), pa.array([words.tobytes()], pa.binary()), pa.array([pack(place.astype(np.uint32))], pa.binary()), pa.array([pack(size.astype(np.uint32), good)], pa.binary())]
+        cells = [pa.array([held[0][4]], pa.int64()), pa.array([pack(words)], pa.binary()), pa.array([pack(place.astype(np.uint32))], pa.binary()), pa.array([pack(size.astype(np.uint32), good)], pa.binary())]
         cells += [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([len(place)], pa.int64()), pa.array([int(size[good > 0].sum())], pa.int64())]
         return pa.RecordBatch.from_arrays(cells, names)
 
@@ -356,19 +369,19 @@ def counts(chunks: DataFrame, shards: int) -> DataFrame:
     def send(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                words, (place,), (size, good) = np.frombuffer(r["words"], np.uint64), unpack(r["tokens"]), unpack(r["docs"])
+                (words,), (place,), (size, good) = unpack(r["words"]), unpack(r["tokens"]), unpack(r["docs"])
                 n = np.bincount(place[np.repeat(good > 0, size)], minlength=len(words)).astype(np.uint32)
                 # Hashes are in order, so shards are ranges of them.
                 cut = np.searchsorted(((words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1))
                 for s, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     if hi > lo:
-                        yield _table([(s, r["chunk"], words[lo:hi].tobytes(), pack(n[lo:hi]))], spec, {})
+                        yield _table([(s, r["chunk"], pack(words[lo:hi]), pack(n[lo:hi]))], spec, {})
 
     out = "chunk long, shard int, data binary, kinds long"
 
     def count(batches):
         for shard, group in _groups(batches, "shard"):
-            rows = [(r["chunk"], np.frombuffer(r["words"], np.uint64), unpack(r["n"])[0]) for r in group]
+            rows = [(r["chunk"], unpack(r["words"])[0], unpack(r["n"])[0]) for r in group]
             words, at = np.unique(np.concatenate([w for _, w, _ in rows]), return_inverse=True)
             c = np.bincount(at, np.concatenate([n for _, _, n in rows])).astype(np.int64)
             rank = np.empty(len(words), np.int64)
@@ -406,7 +419,7 @@ def blocks(chunks: DataFrame, counted: DataFrame, shards: int, total: int, kinds
             yield from one(chunk, head, [unpack(r["tokens"]) for r in rest])
 
     def row(shard, kind, chunk, *columns):
-        return _table([(shard, kind, chunk, pack(*columns), None)], spec, {"doc_id": held[0]})
+        return _table([(shard, kind, chunk, pack_grams(*columns), None)], spec, {"doc_id": held[0]})
 
     held: list = [None]
 
@@ -453,7 +466,8 @@ def blocks(chunks: DataFrame, counted: DataFrame, shards: int, total: int, kinds
         # Of equal trigrams with a rare last word the words differ, and so may their probabilities; it isn't used in counts.
         heads = np.flatnonzero(new)
         some = n > 0
-        yield from dealt(chunk, 0, to[heads][some], fb[heads][some], fa[heads][some], fz[heads][some], n[some].astype(np.uint32), q[heads][some])
+        q0 = np.where(fz[heads] > 0, q[heads], 0)
+        yield from dealt(chunk, 0, to[heads][some], fb[heads][some], fa[heads][some], fz[heads][some], n[some].astype(np.uint32), q0[some])
         wide = np.flatnonzero(some & (spread[b[heads]] > 1))
         if len(wide):
             hb, hz, hn, hq = b[heads][wide], z[heads][wide], n[wide], q[heads][wide]
@@ -505,14 +519,14 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
                 if r["kind"] == 2:
                     yield _table([(r["chunk"], 0, r["data"], r["doc_id"])], spec, kinds)
                 elif r["kind"] == 0:
-                    counted.append(unpack(r["data"]))
+                    counted.append(unpack_grams(r["data"]))
                     if sum(len(x[0]) for x in counted[1:]) > max(1 << 22, len(counted[0][0])):  # equal trigrams of chunks fall together
                         counted = [_merged(counted)]
                 else:
                     if trie is None:
                         columns = [np.concatenate([x[k] for x in counted]) for k in range(5)] if counted else [np.zeros(0, np.uint32)] * 4 + [np.zeros(0, np.uint16)]
                         trie, counted = Trie.load(Trie.build(*columns).to_bytes()), []
-                    b, a, c, doc, q1 = unpack(r["data"])
+                    b, a, c, doc, q1 = unpack_grams(r["data"])
                     sums = np.bincount(doc, trie.cost(b, a, c, q1))
                     some = np.flatnonzero(sums)
                     yield _table([(r["chunk"], 1, pack(some.astype(np.uint32), sums[some].astype(np.uint64)), None)], spec, kinds)
