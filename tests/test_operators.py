@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from wavemill import catalog
-from wavemill.operators import joins as J, kernels as K, motion as M, windows as W
+from wavemill.operators import joins as J, kernels as K, localise as P, motion as M, windows as W
 from wavemill.sources import flatbinary
 from wavemill.streaming import online
 
@@ -188,3 +188,46 @@ def test_clamp_covers_the_whole_array(spark, sf):
 def test_overlap_has_every_customer(spark, sf):
     units = {r[0] for r in catalog.table(spark, sf, "orders").select("o_custkey").distinct().collect()}
     assert {r.a for r in catalog.QUERIES["channel_overlap_whole"](spark, sf).select("a").distinct().collect()} == units
+
+
+def test_point_sources_are_located(spark):
+    rng = np.random.default_rng(3)
+    places = [((i % 4) * 16.0, (i // 4) * 20.0) for i in range(64)]
+    at = np.array(places)
+    truth = np.column_stack([rng.uniform(5, 45, 40), rng.uniform(60, 240, 40), rng.uniform(8, 50, 40), rng.uniform(50, 400, 40)])
+    r = np.sqrt((at[None, :, 0] - truth[:, :1]) ** 2 + (at[None, :, 1] - truth[:, 1:2]) ** 2 + truth[:, 2:3] ** 2)
+    rows = [(i, (truth[i, 3] / r[i]).tolist()) for i in range(40)] + [(90, None), (91, [1.0])]
+    got = {x.k: x for x in P.locate(spark.createDataFrame(rows, "k long, a array<double>"), "k", "a", places).collect()}
+    for i, t in enumerate(truth):
+        assert np.allclose([got[i].x, got[i].z, got[i].y, got[i].strength], t, rtol=1e-3, atol=1e-2)
+    assert got[90].x is None and got[91].strength is None
+
+
+def test_nearest_points_beyond_the_first_grid(spark):
+    """Two far clusters and a lone point: searches widen until each has its neighbours; brute force over all pairs."""
+    rng = np.random.default_rng(6)
+    pts = [*rng.uniform(0, 3, (30, 2)).tolist(), *rng.uniform(900, 903, (3, 2)).tolist(), [5000.0, -40.0], [1.0, 1.0], [1.0, 1.0]]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "k long, x double, z double")
+    got = sorted((r.k, r["rank"], r.other) for r in J.knn(df, "k", ["x", "z"], 4, 0.5).collect())
+    want = []
+    for i, p in enumerate(pts):
+        d = sorted((math.sqrt((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2), j) for j, q in enumerate(pts) if j != i)
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(d[:4])]
+    assert got == sorted(want)
+    assert J.knn(df.limit(0), "k", ["x", "z"], 4, 0.5).count() == 0
+
+
+def test_interpolation_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(J, "KNOTS", 3)
+    rng = np.random.default_rng(1)
+    kx = np.sort(rng.uniform(-5, 100, 60)) ** 2 * np.sign(rng.uniform(-1, 3, 60))
+    ky, x = rng.normal(size=60), np.concatenate([rng.uniform(-3000, 11000, 300), kx])
+    for keys in ([], ["u"]):
+        q = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(x)], "u int, x double")
+        k = spark.createDataFrame([(int(i % 2), float(a), float(b)) for i, (a, b) in enumerate(zip(kx, ky))], "u int, kx double, ky double")
+        for r in J.interpolate(q, k if keys else k.drop("u"), "x", "kx", "ky", "y", keys).collect():
+            mine = np.arange(60) % 2 == r.u if keys else np.ones(60, bool)
+            order = np.argsort(kx[mine])
+            assert abs(r.y - np.interp(r.x, kx[mine][order], ky[mine][order])) < 1e-9
+    empty = J.interpolate(q, k.limit(0), "x", "kx", "ky", "y", ["u"]).collect()
+    assert len(empty) == len(x) and all(r.y is None for r in empty)

@@ -154,7 +154,7 @@ def rank_dependence(spark, sf):
 
 @register("""WITH b AS (SELECT CAST(floor(l_extendedprice / 5000) AS BIGINT) AS b, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'N') AS n FROM lineitem GROUP BY 1),
 c AS (SELECT sum(a) OVER (ORDER BY b) AS ca, sum(n) OVER (ORDER BY b) AS cn, sum(a) OVER () AS ta, sum(n) OVER () AS tn FROM b)
-SELECT round(max(abs(ca / ta - cn / tn)) * sqrt(max(ta + tn)), 6) AS ks FROM c""")
+SELECT round(max(abs(ca / ta - cn / tn)) * sqrt(max(ta + tn) / 2), 6) AS ks FROM c""")
 def ks_of_counts(spark, sf):
     l = table(spark, sf, "lineitem")
     b = l.groupBy(F.floor(F.col("l_extendedprice") / 5000).alias("b")).agg(F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("a"), F.count(F.when(F.col("l_returnflag") == "N", 1)).alias("n"))
@@ -224,9 +224,9 @@ def median_absolute_deviation(spark, sf):
     return A.mad(stream(spark, sf), ["unit"], "v").select("unit", r6("mad"))
 
 
-@register(f"WITH {EV}, m AS (SELECT ch, median(v) AS c FROM e GROUP BY ch) SELECT e.ch, round(median(abs(v - c)) * 1.4826, 6) AS noise FROM e JOIN m USING (ch) GROUP BY e.ch")
+@register(f"WITH {EV}, m AS (SELECT ch, avg(v) AS c FROM e GROUP BY ch) SELECT e.ch, round(median(abs(v - c)) / 0.6745, 6) AS noise FROM e JOIN m USING (ch) GROUP BY e.ch")
 def robust_noise_scale(spark, sf):
-    return A.mad(stream(spark, sf), ["ch"], "v", 1.4826).select("ch", r6("mad", "noise"))
+    return A.mad(stream(spark, sf), ["ch"], "v", 1 / 0.6745, centre="mean").select("ch", r6("mad", "noise"))
 
 
 @register(f"WITH {EV}, c AS (SELECT ch, floor(t / {DAY}) AS k, sqrt(avg(v * v)) AS rms FROM e GROUP BY ALL) SELECT ch, round(median(rms), 6) AS rms, count(*) AS chunks FROM c GROUP BY ch")
@@ -520,4 +520,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship_detection(spark, sf_dir)
 
 
-from wavemill.plans import models as _models, more as _more  # noqa: E402,F401  they register their queries
+from wavemill.plans import models as _models, more as _more, units as _units  # noqa: E402,F401  they register their queries

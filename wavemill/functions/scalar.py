@@ -130,3 +130,8 @@ def clean_name(name) -> Column:
 def up_down(n) -> Column:
     """1, 2, .., up and down again, n entries."""
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.least(i, n + 1 - i))
+
+
+def cubic_weights(f) -> list[Column]:
+    """Weights of the samples at -1, 0, 1 and 2 in cubic convolution (a = -1/2), at fraction f between 0 and 1."""
+    return [((-0.5 * f + 1) * f - 0.5) * f, (1.5 * f - 2.5) * f * f + 1, ((-1.5 * f + 2) * f + 0.5) * f, (0.5 * f - 0.5) * f * f]

@@ -39,9 +39,9 @@ def counts_with_zeros(df: DataFrame, label: str, size: int) -> DataFrame:
     return spine.join(n, label, "left").select(label, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def mad(df: DataFrame, keys: list[str], value: str, scale: float = 1.0) -> DataFrame:
-    """Median absolute deviation from the median per group, times ``scale``."""
-    mid = df.groupBy(*keys).agg(F.median(value).alias("centre"))
+def mad(df: DataFrame, keys: list[str], value: str, scale: float = 1.0, centre: str = "median") -> DataFrame:
+    """Median absolute deviation from the median (or the mean) per group, times ``scale``."""
+    mid = df.groupBy(*keys).agg((F.avg if centre == "mean" else F.median)(value).alias("centre"))
     return df.join(mid, keys).groupBy(*keys).agg((F.median(F.abs(F.col(value) - F.col("centre"))) * scale).alias("mad"))
 
 
@@ -51,8 +51,8 @@ def chunked_rms(df: DataFrame, key: str, t: str, value: str, width: int) -> Data
     return part.groupBy(key).agg(F.median("rms").alias("rms"), F.count(F.lit(1)).alias("chunks"))
 
 
-def standardise(df: DataFrame, keys: list[str], value: str, least_sd: float = 1e-12) -> DataFrame:
-    """z scores per group from one aggregation; groups of no spread give 0."""
+def standardise(df: DataFrame, keys: list[str], value: str, least_sd: float = 0.1) -> DataFrame:
+    """z scores per group from one aggregation; groups of a spread below ``least_sd`` give 0."""
     s = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     return df.join(s, keys).withColumn("z", F.when(F.col("_s") < least_sd, 0.0).otherwise((F.col(value) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
 

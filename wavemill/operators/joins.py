@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+#: Knots of a stretch of interpolate().
+KNOTS = 1024
+
 
 def band_join(a: DataFrame, b: DataFrame, ta: str, tb: str, tolerance: float, keys: list[tuple[str, str]] = (), how: str = "inner") -> DataFrame:
     """Rows with |ta - tb| <= tolerance and equal keys. Column names of a and b must differ.
@@ -90,13 +93,77 @@ def upsert_range(old: DataFrame, new: DataFrame, t: str, start: int, stop: int)
 
 
 def interpolate(points: DataFrame, knots: DataFrame, x: str, kx: str, ky: str, to: str, keys: list[str] = ()) -> DataFrame:
-    """Linear interpolation at x between knots (keys, kx, ky), clamped at the ends, through one union and two window passes."""
-    cols = points.columns
-    both = points.withColumn("_x", F.col(x).cast("double")).withColumn("_ky", F.lit(None).cast("double")).unionByName(knots.select(*keys, F.col(kx).cast("double").alias("_x"), F.col(ky).cast("double").alias("_ky")), allowMissingColumns=True)
-    both = both.withColumn("_kx", F.when(F.col("_ky").isNotNull(), F.col("_x"))).withColumn("_knot", F.col("_ky").isNotNull())
-    w = Window.partitionBy(*keys).orderBy("_x", F.col("_knot").desc())
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    filled = both.select("*", *[F.last(c, True).over(back).alias(f"{c}0") for c in ("_kx", "_ky")], *[F.first(c, True).over(ahead).alias(f"{c}1") for c in ("_kx", "_ky")])
-    part = (F.col("_x") - F.col("_kx0")) / (F.col("_kx1") - F.col("_kx0"))
-    y = F.when(F.col("_kx0").isNull(), F.col("_ky1")).when(F.col("_kx1").isNull() | (F.col("_kx1") == F.col("_kx0")), F.col("_ky0")).otherwise(F.col("_ky0") + part * (F.col("_ky1") - F.col("_ky0")))
-    return filled.where("NOT _knot").select(*cols, y.alias(to))
+    """Linear interpolation at x between knots (keys, kx, ky), clamped at the ends; of knots at one place the largest ky counts.
+
+    Knots become intervals to the next knot, first within coarse stretches of about KNOTS knots, then from stretch to
+    stretch, so that no window holds all knots. An interval enters the bins of about one knot that it crosses, and a
+    point meets it by an equi-join on its bin, which adaptive execution may split. Points without x or knots get null.
+    """
+    keys, low, high = list(keys), float("-inf"), float("inf")
+    k = knots.groupBy(*keys, F.col(kx).cast("double").alias("_k0")).agg(F.max(ky).cast("double").alias("_y0")).where("_k0 IS NOT NULL AND _y0 IS NOT NULL")
+    n, least, most = k.agg(F.count(F.lit(1)), F.min("_k0"), F.max("_k0")).first()
+    if not n:
+        return points.withColumn(to, F.lit(None).cast("double"))
+    width = max((most - least) / n, 1e-9 * max(1.0, abs(least), abs(most)))
+    k = k.withColumn("_s", F.floor((F.col("_k0") - least) / (width * KNOTS)))
+    inner, outer = Window.partitionBy(*keys, "_s").orderBy("_k0"), Window.partitionBy(*keys).orderBy("_s")
+    heads = k.groupBy(*keys, "_s").agg(F.min(F.struct("_k0", "_y0")).alias("_h")).withColumn("_then", F.lead("_h").over(outer))  # a row per stretch
+    k = k.withColumns({"_k1": F.lead("_k0").over(inner), "_y1": F.lead("_y0").over(inner)}).join(heads.drop("_h"), [*keys, "_s"])
+    k = k.select(*keys, "_k0", "_y0", F.coalesce("_k1", "_then._k0").alias("_k1"), F.coalesce("_y1", "_then._y0").alias("_y1"))
+    ends = heads.groupBy(*keys).agg(F.min("_h").alias("_h")).select(*keys, F.lit(low).alias("_k0"), F.col("_h._y0").alias("_y0"), F.col("_h._k0").alias("_k1"), F.col("_h._y0").alias("_y1"))
+    k = k.withColumns({"_k1": F.coalesce("_k1", F.lit(high)), "_y1": F.coalesce("_y1", "_y0")}).unionByName(ends)
+    bin_of = lambda c: F.floor((F.greatest(F.lit(least - width), F.least(F.lit(most + width), F.col(c))) - least) / width).cast("long")
+    spans = k.withColumn("_bin", F.explode(F.sequence(bin_of("_k0"), bin_of("_k1"))))
+    at = points.withColumn("_x", F.col(x).cast("double")).withColumn("_bin", bin_of("_x"))
+    on = (at["_bin"] == spans["_bin"]) & (F.col("_x") >= F.col("_k0")) & (F.col("_x") < F.col("_k1"))
+    for c in keys:
+        on = on & (at[c] == spans[c])
+    met = at.join(spans, on, "left")
+    part = (F.col("_x") - F.col("_k0")) / (F.col("_k1") - F.col("_k0"))
+    flat = (F.col("_k0") == low) | (F.col("_k1") == high)
+    y = F.when(flat, F.col("_y0")).otherwise(F.col("_y0") + part * (F.col("_y1") - F.col("_y0")))
+    return met.select(*[at[c] for c in points.columns], y.alias(to))
+
+
+def knn(points: DataFrame, key: str, xs: list[str], k: int, cell: float) -> DataFrame:
+    """(key, other, distance, rank): the k nearest other points of each, ties by the other's key.
+
+    Candidates come from a grid's cell and its neighbours; a point whose k-th distance exceeds the cell's width, or which
+    has too few candidates, is searched again in a grid of twice the width. Each round only has the points left over, and
+    rounds end when the grid spans the data. Fewer than k rows come only where there are fewer other points.
+    """
+    spark = points.sparkSession
+    pts = points.select(key, *xs)
+    box = pts.agg(F.count(F.lit(1)), *[f(c) for c in xs[:2] for f in (F.min, F.max)]).first()
+    span = max([box[2 + 2 * i] - box[1 + 2 * i] for i in range(len(xs[:2]))]) if box[0] else 0.0
+    left, found = pts, None
+    other = pts.toDF("_o", *[f"_{c}" for c in xs])
+    while True:
+        d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in xs), F.lit(0.0)))
+        a, b, on = left, other, F.lit(True)
+        for i, c in enumerate(xs[:2]):
+            a = a.withColumn(f"_c{i}", F.floor(F.col(c) / cell))
+            b = b.withColumn(f"_d{i}", F.explode(F.array(*[F.floor(F.col(f"_{c}") / cell) + j for j in (-1, 0, 1)])))
+            on = on & (F.col(f"_c{i}") == F.col(f"_d{i}"))
+        near = a.join(b, on & (F.col(key) != F.col("_o"))).select(key, F.col("_o").alias("other"), d.alias("distance"))
+        best = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "other"))).where(F.col("rank") <= k)
+        if cell > 2 * span:
+            return (best if found is None else found.unionByName(best)).withColumn("rank", F.col("rank").cast("long"))
+        best = best.checkpoint() if spark.sparkContext.getCheckpointDir() else best
+        sure = best.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_m")).where((F.col("_n") == k) & (F.col("_m") <= cell)).select(key)
+        good = best.join(sure, key, "left_semi")
+        found = good if found is None else found.unionByName(good)
+        left = left.join(sure, key, "left_anti")
+        if left.isEmpty():
+            return found.withColumn("rank", F.col("rank").cast("long"))
+        cell *= 2
+
+
+def agreement_matrix(matches: DataFrame, a: DataFrame, b: DataFrame, unit_a: str = "unit_a", unit_b: str = "unit_b") -> DataFrame:
+    """(unit_a, unit_b, n_match, agreement, best): matched events of two sortings per pair of units, as a share of their union, and
+    whether the pair is unit_a's best. ``matches`` has a row per matched pair of events; a and b have a row per event."""
+    n = matches.groupBy(unit_a, unit_b).agg(F.count(F.lit(1)).alias("n_match"))
+    na, nb = (x.groupBy(u).agg(F.count(F.lit(1)).alias(c)) for x, u, c in ((a, unit_a, "_na"), (b, unit_b, "_nb")))
+    out = n.join(na, unit_a).join(nb, unit_b).withColumn("agreement", F.col("n_match") / (F.col("_na") + F.col("_nb") - F.col("n_match")))
+    first = F.row_number().over(Window.partitionBy(unit_a).orderBy(F.col("agreement").desc(), unit_b)) == 1
+    return out.select(unit_a, unit_b, "n_match", "agreement", first.alias("best"))

@@ -96,13 +96,13 @@ def trend(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 
 def ks_counts(df: DataFrame, bin_: str, a: str, b: str, partition: list[str] | None = None) -> DataFrame:
-    """Largest difference of two cumulated shares over bins, scaled by sqrt of the total."""
+    """Largest difference of two cumulated shares over bins, scaled by sqrt of their mean count."""
     keys = partition or []
     w = Window.partitionBy(*keys).orderBy(bin_)
     run = df.withColumn("_a", F.sum(a).over(w)).withColumn("_b", F.sum(b).over(w))
     tot = run.groupBy(*keys).agg(F.sum(a).alias("_ta"), F.sum(b).alias("_tb"))
     both = run.join(tot, keys) if keys else run.crossJoin(tot)  # one row of totals
-    return both.groupBy(*keys).agg((F.max(F.abs(F.col("_a") / F.col("_ta") - F.col("_b") / F.col("_tb"))) * F.sqrt(F.max(F.col("_ta") + F.col("_tb")))).alias("ks"))
+    return both.groupBy(*keys).agg((F.max(F.abs(F.col("_a") / F.col("_ta") - F.col("_b") / F.col("_tb"))) * F.sqrt(F.max(F.col("_ta") + F.col("_tb")) / 2)).alias("ks"))
 
 
 def sorted_check(df: DataFrame, order: WindowSpec, t: str) -> DataFrame:
@@ -121,3 +121,43 @@ def chatterjee_xi(df: DataFrame, key: str, x: str, y: str, tie: str) -> DataFram
 def ramp(height: Column, low: float, high: float) -> Column:
     """Linear from 0 at low to 1 at high, flat outside."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (height - low) / (high - low)))
+
+
+def suppress_space_time(df: DataFrame, id_: str, t: str, place: list[str], v: str, window: float, radius: float) -> DataFrame:
+    """Rows without a larger value within ``window`` in time and ``radius`` in space; of equal values the earlier stays, then the lesser id.
+
+    Rows meet on buckets of time and of the first coordinate, so a busy channel is many tasks.
+    """
+    b = df.select(F.col(id_).alias("_i"), F.col(t).alias("_t"), F.col(v).alias("_v"), *[F.col(c).alias(f"_{c}") for c in place])
+    cell = lambda c, w: F.floor(F.col(c) / w)
+    near = lambda c, w: F.explode(F.array(*[F.floor(F.col(c) / w) + k for k in (-1, 0, 1)]))
+    left = df.withColumns({"_bt": cell(t, window), "_bx": cell(place[0], radius)})
+    right = b.withColumn("_nt", near("_t", window)).withColumn("_nx", near(f"_{place[0]}", radius))
+    d2 = sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in place), F.lit(0.0))
+    beats = (F.col("_v") > F.col(v)) | ((F.col("_v") == F.col(v)) & ((F.col("_t") < F.col(t)) | ((F.col("_t") == F.col(t)) & (F.col("_i") < F.col(id_)))))
+    on = (F.col("_bt") == F.col("_nt")) & (F.col("_bx") == F.col("_nx")) & (F.abs(F.col(t) - F.col("_t")) <= window) & (d2 <= radius * radius) & beats
+    return left.join(right, on, "left_anti").drop("_bt", "_bx")
+
+
+def event_windows(chunks: DataFrame, events: DataFrame, t: str, size: int, before: int, after: int, key: list[str] = ()) -> DataFrame:
+    """events with ``window``: samples t - before to t + after - 1 of a recording, null beyond its ends.
+
+    ``chunks`` has (keys, chunk, samples), chunk c holding samples c * size on. An event fetches the chunks that its window
+    crosses by an equi-join, so a recording is never gathered.
+    """
+    spans = F.explode(F.sequence(F.floor((F.col(t) - before) / size), F.floor((F.col(t) + after - 1) / size)))
+    ask = events.withColumn("_row", F.monotonically_increasing_id()).withColumn("chunk", spans)
+    got = ask.join(chunks.select(*key, "chunk", "samples"), [*key, "chunk"], "left")
+    parts = F.map_from_entries(F.collect_list(F.struct("chunk", "samples")))
+    rows = got.groupBy("_row", *[F.col(c) for c in events.columns]).agg(parts.alias("_parts"))
+    at = lambda i: F.get(F.element_at("_parts", F.floor(i / size)), F.pmod(i, F.lit(size)).cast("int"))
+    return rows.withColumn("window", F.transform(F.sequence(F.col(t) - before, F.col(t) + after - 1), at)).drop("_row", "_parts")
+
+
+def halving_ks(df: DataFrame, bin_: str, a: str, b: str) -> DataFrame:
+    """The largest ks_counts over the first n, n / 2, n / 4, ... bins (4 at least), and the prefix that has it. One row per bin is ranked."""
+    ranked = df.withColumn("_p", F.row_number().over(Window.orderBy(bin_))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    sizes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.floor(F.col("_n") / F.pow(F.lit(2), i)).cast("long")), lambda s: s >= 4)
+    parts = ranked.withColumn("prefix", F.explode(F.array_distinct(F.array_union(sizes, F.array("_n"))))).where("_p <= prefix")
+    out = ks_counts(parts, bin_, a, b, ["prefix"])
+    return out.orderBy(F.col("ks").desc(), F.col("prefix").desc()).limit(1)
