@@ -158,3 +158,57 @@ def test_a_batch_committed_during_a_compaction_counts_once(spark, monkeypatch):
     r.compact("x")
     monkeypatch.setattr(rollup.Rollup, "_sum", first)
     assert r.totals().first().tokens == 15 and r.batches() == ["b", "to-x"]
+
+
+def test_license_cosines_match_brute_force(spark):
+    """Every passage against every template from dictionaries, document frequencies of all words included."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(4)
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 900)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "software", "the", "license", "of", "copy"])
+    filler = lambda n: " ".join(word() for _ in range(n))
+    wrapped = "\r\n".join(f"# {x}" for x in ["Licensed under the", "Apache License, Version 2.0."])
+    texts = [None, "", mit, filler(400), filler(200) + " " + mit + " " + filler(300), f"#!/bin/sh\r\n#\r\n{wrapped}\r\n#\r\nrun = 1\r\n", filler(30) + "\n \t \nReleased under the MIT License.\n", "x " * 60_000 + "Licensed under CC BY 4.0."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("path", F.lit("a/b"))
+    split = lambda t: [w for w in (x.rstrip(".") for x in re.split(r"[\s!\"#$%&'()*+,\-/:;<=>?@\[\\\]^`{|}~]+", t.lower())) if w]
+    rows = [split(t or "") for t in texts]
+    seen = Counter(w for r in rows for w in set(r))
+    idf = lambda w: max(math.log((1 + len(texts)) / (1 + seen[w])), 0) + 0.1
+    vector = lambda ws: {w: c * idf(w) for w, c in Counter(ws).items()}
+    sides = [(n, vector(split(t))) for n, t in licenses.TEMPLATES]
+
+    def cosine(a, b):
+        dot = sum(v * b.get(w, 0) for w, v in a.items())
+        return dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())) if dot else 0.0
+
+    def passages(t):
+        lines = [split(x) for x in t.split("\n")]
+        runs = [[]]
+        for x in lines:
+            runs.append([]) if not x else runs[-1].extend(x)
+        whole = [w for x in lines for w in x]
+        out = [*lines, *runs, whole]
+        for size in licenses.WINDOWS:
+            if len(whole) > size:
+                out += [whole[i : i + size] for i in range(0, len(whole), size // 2)] + [whole[: size // 2]]
+        return [x for x in out if x]
+
+    got = {r.id: r for r in licenses.own_licenses(df).collect()}
+    for i, t in enumerate(texts):
+        found = [(cosine(vector(p), v), n) for p in passages(t or "") for n, v in sides]
+        top = max((c for c, _ in found if c >= licenses.THRESHOLD), default=0.0)
+        assert abs(got[i].similarity - top) < 1e-5, i
+        assert got[i].license in ({n for c, n in found if c > top - 1e-5} if top else {None}), i
+    assert [got[i].license for i in (2, 3, 4, 5, 6, 7)] == ["MIT", None, "MIT", "Apache-2.0", "MIT", "CC-BY-4.0"]
+    assert got[2].share == 1
+
+
+def test_templates_come_from_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may do with this what you like on any day but Sunday")
+    templates = licenses.read_templates(spark, str(tmp_path))
+    df = spark.createDataFrame([(1, "a/LICENSE", "you may do with this what you like, on any day but sunday"), (2, "a/b.c", "code")], "doc_id long, path string, text string")
+    assert {r.id: r.license for r in licenses.scan(df, templates=templates).collect()} == {1: "Own-1.0", 2: "Own-1.0"}
