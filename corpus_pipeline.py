@@ -2,6 +2,10 @@
 
 Each stage takes all that the one before kept; what a stage returns is written to the shared folder as
 Parquet and read back for the next.
+
+All stages keep rows with a null id, and rows that share an id stand or fall together (but for lines). Null and
+empty texts, and texts of blanks alone, pass the last four stages; the first scores them like any other. Columns
+beyond COLUMNS are dropped, whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -18,14 +22,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score below the threshold. The model learns from labels outside the held-out quarter."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"), training=lambda c: remainder(c, 4) != 2)
-    return quality.score(docs.select(*COLUMNS), model, to="_score").where(F.col("_score") >= quality.THRESHOLD).select(*COLUMNS)
+    scored = quality.score(docs.select(*COLUMNS), model, to="_score")
+    return scored.where(F.col("_score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out and sets n_chars anew. A document of which no word is left, though it had some, goes."""
     out = lines.dedup_lines(docs.select(*COLUMNS))
     worded = F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\s]"))
-    return out.where((F.col("n_removed") == 0) | worded).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.where((F.col("n_removed") == 0) | worded).withColumn("n_chars", size).select(*COLUMNS)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples a segmentation of each text, decodes it and compares; all documents stay."""
     out = pieces.decode(pieces.encode(docs.select(*COLUMNS)))
-    return out.select(*COLUMNS, "pieces", F.size("pieces").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return out.select(*COLUMNS, "pieces", F.size("pieces").cast("long").alias("n_pieces"), lossless.alias("lossless"))
 
 
 STAGES = [
@@ -55,7 +62,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
-#: Learned scores, SimHash bits and sampled pieces aren't expressible in SQL; the stages are tested by brute force.
+#: Learned scores and sampled pieces aren't expressible in SQL; the stages are tested by brute force.
 ORACLE_SQL = None
 
 
