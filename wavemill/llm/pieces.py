@@ -5,7 +5,7 @@ weighted by the piece's rank. Forward filtering sums the weights of all paths to
 sampling draws one path from its end, with draws that are a hash of seed, row key and place, so the
 same row gives the same pieces on any cluster. Characters that no piece spells become byte pieces.
 
-Stretches repeat, so a worker filters each distinct one once and remembers it for later chunks (up to
+Stretches repeat, so a task filters each distinct one once and remembers it for its later chunks (up to
 REMEMBERED arcs, then it starts anew; what is remembered never changes a result, since chances are
 integers). Draws are made for all occurrences in lockstep. Spaces are pieces' own spaces, so decoding
 returns the text byte for byte.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from wavemill.llm import _text
 
 SEED, SHARPNESS, BYTE_WEIGHT, PIECES_AT_ONCE = 17, 1.5, -30.0, 1 << 18
-REMEMBERED = 3_000_000
+REMEMBERED = 2_000_000
 #: Chances are multiples of 2**-UNIT.
 UNIT = 28
 HEAD = 4
@@ -233,7 +233,7 @@ def encode_chunk(p: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     return row[who[order]], piece[order]
 
 
-def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 3 << 18) -> DataFrame:
     """docs with a column of sampled piece ids (array<int>); a column of that name is replaced.
 
     Null and empty texts give no pieces. The draw depends on seed, the key cast to string (null: its
@@ -251,6 +251,7 @@ def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", te
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
                 cols = [batch.column(c).slice(lo, hi - lo) for c in others]
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(piece.astype(np.int32)))], [*others, to])
+        p.memory = Memory()  # a worker outlives its task
 
     given = text if text in others else "_text"  # the text travels once
     extra = [] if given == text else [F.col(text).alias("_text")]
