@@ -35,7 +35,7 @@ from wavemill.llm._store import materialise
 
 LEAST_COUNT, DISCOUNT, QUANTUM, LEAST_BITS = 2, 0.75, 2.0**-11, 21
 #: Bytes of text that are split at once, tokens of a chunk at least, and tokens of a shard on average.
-SPLIT_BYTES, CHUNK_TOKENS, SHARD_TOKENS = 4 << 20, 2 << 20, 1 << 20
+SPLIT_BYTES, CHUNK_TOKENS, SHARD_TOKENS = 2 << 20, 5 << 18, 1 << 20
 #: Stands for the end of a text; a blank, so no word is spelled like it.
 END = b"\n"
 #: First word of a row of a frequent middle word's bigram counts.
@@ -426,20 +426,22 @@ def blocks(chunks: DataFrame, counted: DataFrame, shards: int, total: int, kinds
     def one(chunk, head, parts):
         number, c = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32) for k in (0, 1))
         (place,), (size, good) = unpack(head["tokens"]), unpack(head["docs"])
-        doc = np.repeat(np.arange(len(size)), size)
-        plain = np.log10(c + 1.0)[place]
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         p1 = np.where(c > 0, (c - DISCOUNT) / max(total, 1), DISCOUNT * kinds / total if total else 1.0)
         q1 = quantise(p1)
+        base = np.bincount(doc, np.log10(c + 1.0)[place], len(size)) - size * np.log10(total + kinds + 1)
+        seen = np.bincount(doc, (c > 0)[place], len(size)).astype(np.uint32)
         known = np.where(c >= LEAST_COUNT, number, 0)
         own, small = np.unique(known, return_inverse=True)  # places in own are smaller numbers of the same order
-        w = small[place].astype(np.int64)
+        small = small.astype(np.int32)
+        w = small[place]
         rare = 0 if len(own) and own[0] == 0 else -1
-        b, a = np.full(len(w), -2), np.full(len(w), -2)
+        b, a = np.full(len(w), -2, np.int32), np.full(len(w), -2, np.int32)
         b[1:] = np.where(doc[1:] == doc[:-1], w[:-1], -2)
         a[2:] = np.where(doc[2:] == doc[:-2], w[:-2], -2)
         asks = (b >= 0) & (b != rare)
         alone = np.bincount(doc[~asks], q1[place[~asks]], len(size)).astype(np.uint64)
-        facts = pack(np.bincount(doc, plain, len(size)) - size * np.log10(total + kinds + 1), size, np.bincount(doc, c[place] > 0, len(size)).astype(np.uint32), good, alone)
+        facts = pack(base, size, seen, good, alone)
         ids = head["doc_id"]
         yield _table([(int(_mix(np.array([chunk]))[0] % np.uint64(shards)), 2, chunk, facts, ids)], spec, {"doc_id": held[0]})
         t = np.flatnonzero(asks)
@@ -449,20 +451,22 @@ def blocks(chunks: DataFrame, counted: DataFrame, shards: int, total: int, kinds
         full = np.append(0, own) if rare < 0 else own
         lift = 1 if rare < 0 else 0
         b, a, z = b[t] + lift, np.where(a[t] >= 0, a[t] + lift, 0), w[t] + lift
+        q, d = q1[place[t]], doc[t].astype(np.uint32)
+        del w, asks, doc, place, t
         bits = len(full).bit_length()
-        order = np.argsort((b << 2 * bits) | (a << bits) | z) if 3 * bits < 64 else np.lexsort((z, a, b))
-        b, a, z, t = b[order], a[order], z[order], t[order]
+        order = np.argsort((b.astype(np.int64) << 2 * bits) | (a.astype(np.int64) << bits) | z) if 3 * bits < 64 else np.lexsort((z, a, b))
+        b, a, z, q, d = (x[order] for x in (b, a, z, q, d))
+        del order
         # Frequent middle words have a number of shards, dealt by the first word.
         often = np.zeros(len(full), np.int64)
         often[small + lift] = np.where(c >= LEAST_COUNT, c, 0)
         spread = (-(-often // shard_tokens)).clip(1)
         fb, fa, fz = full[b].astype(np.uint32), full[a].astype(np.uint32), full[z].astype(np.uint32)
         place_of = lambda x, part: (_mix(x.astype(np.uint64) * np.uint64(0x100000001B3) ^ _mix(part)) % np.uint64(shards)).astype(np.int64)
-        to = place_of(fb, np.where(spread[b] > 1, (_mix(fa) % spread[b].astype(np.uint64)).astype(np.int64), 0))
-        q, d, learn = q1[place[t]], doc[t].astype(np.uint32), good[doc[t]] > 0
+        to = place_of(fb, np.where(spread[b] > 1, (_mix(fa) % spread[b].astype(np.uint64)).astype(np.int64), 0)).astype(np.int32)
         new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (z[1:] != z[:-1]))
         gram = np.cumsum(new) - 1
-        n = np.bincount(gram, learn)
+        n = np.bincount(gram, good[d] > 0)
         # Of equal trigrams with a rare last word the words differ, and so may their probabilities; it isn't used in counts.
         heads = np.flatnonzero(new)
         some = n > 0
@@ -470,7 +474,7 @@ def blocks(chunks: DataFrame, counted: DataFrame, shards: int, total: int, kinds
         yield from dealt(chunk, 0, to[heads][some], fb[heads][some], fa[heads][some], fz[heads][some], n[some].astype(np.uint32), q0[some])
         wide = np.flatnonzero(some & (spread[b[heads]] > 1))
         if len(wide):
-            hb, hz, hn, hq = b[heads][wide], z[heads][wide], n[wide], q[heads][wide]
+            hb, hz, hn, hq = b[heads][wide].astype(np.int64), z[heads][wide].astype(np.int64), n[wide], q[heads][wide]
             key, at, inverse = np.unique((hb << bits) | hz, return_index=True, return_inverse=True)
             sums, times = np.bincount(inverse, hn).astype(np.uint32), spread[hb[at]]
             who = np.repeat(np.arange(len(key)), times)
