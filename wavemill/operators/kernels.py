@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import itertools
 
 import numpy as np
 import pandas as pd
@@ -87,19 +86,9 @@ def isotonic_fit(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return df.groupBy(key).applyInPandas(run, f"{fields}, fit double")
 
 
-def best_subset(t: np.ndarray, score: np.ndarray, dead: int, exhaustive: int = 12) -> np.ndarray:
-    """Mask of the largest subset whose neighbours are ``dead`` or more apart; of those, the one of least score.
-
-    A run of up to ``exhaustive`` events is searched whole; a longer one by dynamic programming with the same rule.
-    """
+def best_subset(t: np.ndarray, score: np.ndarray, dead: int) -> np.ndarray:
+    """Mask of the largest subset whose neighbours are ``dead`` or more apart; of those, the one of least score; of those, the one whose last event is earliest."""
     n = len(t)
-    if n <= exhaustive:
-        for size in range(n, 0, -1):
-            fits = [c for c in itertools.combinations(range(n), size) if all(t[b] - t[a] >= dead for a, b in itertools.pairwise(c))]
-            if fits:
-                keep = np.zeros(n, bool)
-                keep[list(min(fits, key=lambda c: (sum(score[i] for i in c), c)))] = True
-                return keep
     best: list[tuple[int, float, int]] = [(0, 0.0, -1)]
     take: list[bool] = []
     for i in range(n):
