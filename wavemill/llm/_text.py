@@ -7,6 +7,8 @@ made per word. All helpers take whole texts; a chunk holds whole rows.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -91,3 +93,12 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, part: np.ndarray = BLANK)
     """(hash, row) of each word, A-Z lower-cased."""
     s, e, row = words(buf, offsets, part)
     return spans(prefix(buf), s, e), row
+
+
+def release() -> None:
+    """Gives freed memory back to the system at a task's end, where the C library can: a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -87,6 +87,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
                 name = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for f in (lambda s: s, lambda s: _text.mix(s ^ np.uint64(_text.BASE)))]
                 ends = np.append(0, np.cumsum(full * bands)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), *map(pa.array, name), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["id", "n_shingles", "k1", "k2", "keys"])
+        _text.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, k1 long, k2 long, keys array<long>")
@@ -99,6 +100,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
         for batch in batches:
             for lo, hi, buf, offsets in _text.chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(buf, offsets, shingle)], pa.binary())], ["id", "body"])
+        _text.release()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, body binary")
 

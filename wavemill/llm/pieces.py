@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from wavemill.llm import _text
 
 SEED, SHARPNESS, BYTE_WEIGHT, PIECES_AT_ONCE = 17, 1.5, -30.0, 1 << 18
-REMEMBERED = 2_000_000
+REMEMBERED = 1_500_000
 #: Chances are multiples of 2**-UNIT.
 UNIT = 28
 HEAD = 4
@@ -233,7 +233,7 @@ def encode_chunk(p: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     return row[who[order]], piece[order]
 
 
-def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 3 << 18) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 1 << 19) -> DataFrame:
     """docs with a column of sampled piece ids (array<int>); a column of that name is replaced.
 
     Null and empty texts give no pieces. The draw depends on seed, the key cast to string (null: its
@@ -251,7 +251,8 @@ def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", te
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
                 cols = [batch.column(c).slice(lo, hi - lo) for c in others]
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(piece.astype(np.int32)))], [*others, to])
-        p.memory = Memory()  # a worker outlives its task
+        p.memory = Memory()
+        _text.release()
 
     given = text if text in others else "_text"  # the text travels once
     extra = [] if given == text else [F.col(text).alias("_text")]
@@ -282,6 +283,7 @@ def decode(docs: DataFrame, model: str | None = None, *, pieces: str = "pieces",
                 texts = [flat[a + 1 : b].tobytes() if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in others), pa.array(texts, pa.binary()).cast(pa.string())], [*others, to])
                 lo = hi
+        _text.release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != to)
     return docs.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(run, f"{fields}, `{to}` string")

@@ -99,7 +99,7 @@ def moments(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         total = np.zeros((4, d, d))
         for batch in batches:
             half, positive = batch.column("half").to_numpy(), batch.column("positive").to_numpy(zero_copy_only=False)
-            for lo, hi, buf, offsets in _text.chunks(batch.column("text"), 1 << 20, 512):
+            for lo, hi, buf, offsets in _text.chunks(batch.column("text"), 1 << 19, 512):
                 x = features(buf, offsets, buckets)
                 for k in (0, 1):
                     part, good = x[half[lo:hi] == k], x[(half[lo:hi] == k) & positive[lo:hi]]
@@ -108,6 +108,7 @@ def moments(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         for k in range(4):
             some = np.flatnonzero(total[k][upper])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[k][upper][some].astype(np.int64))], ["kind", "cell", "sum"])
+        _text.release()
 
     sums = rows.select("text", "half", "positive").mapInArrow(run, "kind int, cell int, sum long").groupBy("kind", "cell").agg(F.sum("sum").alias("sum")).toArrow()
     out = np.zeros((4, d, d))
@@ -124,12 +125,13 @@ def histogram(rows: DataFrame, model: Model) -> np.ndarray:
         total = np.zeros(2 * BINS, np.int64)
         for batch in batches:
             positive = batch.column("positive").to_numpy(zero_copy_only=False)
-            for lo, hi, buf, offsets in _text.chunks(batch.column("text"), 1 << 20, 512):
+            for lo, hi, buf, offsets in _text.chunks(batch.column("text"), 1 << 19, 512):
                 z = shared.value.margin(features(buf, offsets, len(shared.value.weight) - _SHAPE))
                 place = np.clip((z + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64)
                 total += np.bincount(np.concatenate([place, place[positive[lo:hi]] + BINS]), minlength=2 * BINS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bin", "n"])
+        _text.release()
 
     sums = rows.select("text", "positive").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * BINS, np.int64)
@@ -191,9 +193,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
 
     def run(batches):
         for batch in batches:
-            for lo, hi, buf, offsets in _text.chunks(batch.column("_text"), 1 << 20, 512):
+            for lo, hi, buf, offsets in _text.chunks(batch.column("_text"), 1 << 19, 512):
                 s = shared.value.score(features(buf, offsets, len(shared.value.weight) - _SHAPE))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in others), pa.array(s)], [*others, to])
+        _text.release()
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != to)
     return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias("_text")).mapInArrow(run, f"{fields}`{to}` double")
