@@ -11,10 +11,12 @@ Nothing that grows with the corpus is gathered or broadcast:
 1. Documents become chunks of token numbers. Each chunk's distinct words go to the vocabulary's shards by
    hash, and come back with their counts and corpus-wide numbers.
 2. Each chunk sends its trigrams to shards by the middle word, and by the first word too where the middle
-   one is frequent: training counts first, then every document's trigrams as queries. A word that occurs
-   once is in no bigram of LEAST_COUNT, so it is sent as 0.
-3. A shard builds its trie from the counts, then answers query blocks as they stream by: the sum of a
-   document's log-probabilities, in whole quanta, so sums are exact in any order.
+   one is frequent, those trained on marked. A word that occurs once is in no bigram of LEAST_COUNT, so it
+   is sent as 0.
+3. A shard holds its blocks as they came, packed (about SHARD_TOKENS tokens of some bytes each), counts them
+   into its trie, then answers them: the sum of a document's log-probabilities, in whole quanta, so sums
+   are exact in any order. Only a pair of first and middle word that alone makes up more than a shard
+   makes one larger.
 4. The sums meet by chunk.
 
 Blocks are columns of bytes, compressed; a row of the shuffle is a block of some thousand tokens.
@@ -404,8 +406,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def blocks(chunks: DataFrame, counted: DataFrame, shards: int, total: int, kinds: int, shard_tokens: int) -> DataFrame:
-    """(shard, kind, chunk, data, doc_id) for each chunk: kind 0, training counts of a shard's trigrams; 1, its queries; 2, for the last step, what
-    is known of the documents without a shard."""
+    """(shard, kind, chunk, data, doc_id) for each chunk: kind 0, bigram counts of frequent middle words; 1, a shard's trigrams, those trained on
+    marked; 2, for the last step, what is known of the documents without a shard."""
     id_type = chunks.schema["doc_id"].dataType.simpleString()
     whole = F.lit(None).cast("binary")
     first = chunks.select("chunk", F.lit(-1).alias("shard"), "tokens", "docs", "doc_id")
@@ -451,7 +453,7 @@ def blocks(chunks: DataFrame, counted: DataFrame, shards: int, total: int, kinds
         full = np.append(0, own) if rare < 0 else own
         lift = 1 if rare < 0 else 0
         b, a, z = b[t] + lift, np.where(a[t] >= 0, a[t] + lift, 0), w[t] + lift
-        q, d = q1[place[t]], doc[t].astype(np.uint32)
+        q, d = q1[place[t]], (doc[t].astype(np.uint32) << np.uint32(1)) | good[doc[t]]  # the lowest bit: trained on
         del w, asks, doc, place, t
         bits = len(full).bit_length()
         order = np.argsort((b.astype(np.int64) << 2 * bits) | (a.astype(np.int64) << bits) | z) if 3 * bits < 64 else np.lexsort((z, a, b))
@@ -466,15 +468,12 @@ def blocks(chunks: DataFrame, counted: DataFrame, shards: int, total: int, kinds
         to = place_of(fb, np.where(spread[b] > 1, (_mix(fa) % spread[b].astype(np.uint64)).astype(np.int64), 0)).astype(np.int32)
         new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (z[1:] != z[:-1]))
         gram = np.cumsum(new) - 1
-        n = np.bincount(gram, good[d] > 0)
-        # Of equal trigrams with a rare last word the words differ, and so may their probabilities; it isn't used in counts.
+        n = np.bincount(gram, d & 1)
         heads = np.flatnonzero(new)
-        some = n > 0
-        q0 = np.where(fz[heads] > 0, q[heads], 0)
-        yield from dealt(chunk, 0, to[heads][some], fb[heads][some], fa[heads][some], fz[heads][some], n[some].astype(np.uint32), q0[some])
+        some, q0 = n > 0, np.where(fz[heads] > 0, q[heads], 0)
         wide = np.flatnonzero(some & (spread[b[heads]] > 1))
         if len(wide):
-            hb, hz, hn, hq = b[heads][wide].astype(np.int64), z[heads][wide].astype(np.int64), n[wide], q[heads][wide]
+            hb, hz, hn, hq = b[heads][wide].astype(np.int64), z[heads][wide].astype(np.int64), n[wide], q0[wide]
             key, at, inverse = np.unique((hb << bits) | hz, return_index=True, return_inverse=True)
             sums, times = np.bincount(inverse, hn).astype(np.uint32), spread[hb[at]]
             who = np.repeat(np.arange(len(key)), times)
@@ -518,32 +517,43 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
                 yield batch
 
         for _, group in _groups(seen(), "shard"):
-            counted, trie = [], None
+            counted, held = [], []
             for r in group:
                 if r["kind"] == 2:
                     yield _table([(r["chunk"], 0, r["data"], r["doc_id"])], spec, kinds)
                 elif r["kind"] == 0:
                     counted.append(unpack_grams(r["data"]))
-                    if sum(len(x[0]) for x in counted[1:]) > max(1 << 22, len(counted[0][0])):  # equal trigrams of chunks fall together
-                        counted = [_merged(counted)]
-                else:
-                    if trie is None:
-                        columns = [np.concatenate([x[k] for x in counted]) for k in range(5)] if counted else [np.zeros(0, np.uint32)] * 4 + [np.zeros(0, np.uint16)]
-                        trie, counted = Trie.load(Trie.build(*columns).to_bytes()), []
-                    b, a, c, doc, q1 = unpack_grams(r["data"])
-                    sums = np.bincount(doc, trie.cost(b, a, c, q1))
-                    some = np.flatnonzero(sums)
-                    yield _table([(r["chunk"], 1, pack(some.astype(np.uint32), sums[some].astype(np.uint64)), None)], spec, kinds)
+                else:  # stays packed
+                    held.append((r["chunk"], r["data"]))
+            for _, data in held:
+                b, a, c, x, q1 = unpack_grams(data)
+                t = np.flatnonzero(x & 1)
+                if len(t):
+                    counted.append(_folded(b[t], a[t], c[t], np.ones(len(t), np.int64), np.where(c[t] > 0, q1[t], 0)))
+                if sum(len(p[0]) for p in counted[1:]) > max(1 << 22, len(counted[0][0]) if counted else 0):  # equal trigrams of chunks fall together
+                    counted = [_merged(counted)]
+            columns = [np.concatenate([p[k] for p in counted]) for k in range(5)] if counted else [np.zeros(0, np.uint32)] * 4 + [np.zeros(0, np.uint16)]
+            trie, counted = Trie.load(Trie.build(*columns).to_bytes()), []
+            for chunk, data in held:
+                b, a, c, x, q1 = unpack_grams(data)
+                sums = np.bincount(x >> 1, trie.cost(b, a, c, q1))
+                some = np.flatnonzero(sums)
+                yield _table([(chunk, 1, pack(some.astype(np.uint32), sums[some].astype(np.uint64)), None)], spec, kinds)
+        _text.release()
 
     return _dealt(sent, shards, "shard", "kind").mapInArrow(run, spec.replace("ids", id_type))
 
 
+def _folded(b: np.ndarray, a: np.ndarray, c: np.ndarray, n: np.ndarray, q1: np.ndarray) -> list[np.ndarray]:
+    """Equal neighbours (b, a, c) as one, with their sum."""
+    first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+    return [b[first], a[first], c[first], np.add.reduceat(n, first), q1[first]]
+
+
 def _merged(parts: list) -> list[np.ndarray]:
     b, a, c, n, q1 = (np.concatenate([x[k] for x in parts]) for k in range(5))
     order = np.lexsort((c, a, b))
-    b, a, c, n, q1 = (x[order] for x in (b, a, c, n, q1))
-    first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
-    return [b[first], a[first], c[first], np.add.reduceat(n.astype(np.int64), first), q1[first]]
+    return _folded(*(x[order] for x in (b, a, c, n.astype(np.int64), q1)))
 
 
 def totals(answered: DataFrame, parts: int) -> DataFrame:
