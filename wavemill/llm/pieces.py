@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from wavemill.llm import _text
 
-SEED, SHARPNESS, BYTE_WEIGHT, PIECES_AT_ONCE = 17, 1.5, -30.0, 1 << 18
-REMEMBERED = 1_500_000
+SEED, SHARPNESS, BYTE_WEIGHT, PIECES_AT_ONCE = 17, 1.5, -30.0, 1 << 16
+REMEMBERED = 500_000
 #: Chances are multiples of 2**-UNIT.
 UNIT = 28
 HEAD = 4
@@ -233,7 +233,7 @@ def encode_chunk(p: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     return row[who[order]], piece[order]
 
 
-def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 1 << 19) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, *, key: str = "doc_id", text: str = "text", to: str = "pieces", seed: int = SEED, sharpness: float = SHARPNESS, chunk_bytes: int = 1 << 18) -> DataFrame:
     """docs with a column of sampled piece ids (array<int>); a column of that name is replaced.
 
     Null and empty texts give no pieces. The draw depends on seed, the key cast to string (null: its
