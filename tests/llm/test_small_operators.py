@@ -111,6 +111,41 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
     assert sum(s >= quality.THRESHOLD for s in good) / len(good) > 0.95
 
 
+def test_quality_scores_do_not_depend_on_neighbours(spark):
+    import numpy as np
+
+    texts = ["", "!", "a!", "!!", "abc def", "", "é", "x" * 3000, "Ab 12 $$ end!", "!lead", "\n\n", "z"]
+    raw = [t.encode() for t in texts]
+    chunk = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    alone = [quality.features(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] for r in raw]
+    assert np.array_equal(quality.features(*chunk), np.stack(alone))
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    one, two = (quality.learn(d, labels) for d in (docs.repartition(1), docs.repartition(7)))
+    assert np.array_equal(one.weight, two.weight) and (one.prior, one.at) == (two.prior, two.at)
+    got = [{r.doc_id: r.score for r in quality.score(d.select("doc_id", "text"), one).collect()} for d in (docs, docs.repartition(7))]
+    assert got[0] == got[1]
+
+
+def test_quality_risk_is_least(spark):
+    """The fit against small steps away from it, the risk computed row by row."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x_p, x_u = (np.c_[np.rint(rng.normal(m, 40, (n, 5))), np.full(n, quality.UNIT)] / quality.UNIT for m, n in ((60, 80), (-10, 300)))
+    second = lambda x: x.T @ x
+    for prior in (0.2, 0.6, 0.9):
+        w = quality.nonnegative_fit(second(x_p), second(x_u), prior) / quality.FINE
+
+        def risk(v, prior=prior):
+            p, u = x_p @ v, x_u @ v
+            loss = prior * ((1 - p) ** 2).mean() + max(0.0, ((1 + u) ** 2).mean() - prior * ((1 + p) ** 2).mean())
+            return loss + quality.RIDGE * (v @ v)
+
+        assert all(risk(w) <= risk(w + s * d) + 1e-9 for d in np.r_[np.eye(6), rng.normal(size=(40, 6))] for s in (-1e-2, -1e-3, 1e-3, 1e-2))
+
+
 def test_quality_edge_cases(spark):
     df = spark.createDataFrame([(1, None, 3.0), (2, "", 3.0), (2, "", 3.0), (3, "x y " * 50_000, 3.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([], "doc_id long, quality int")

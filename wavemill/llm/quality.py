@@ -38,17 +38,21 @@ _SHAPE = 12
 
 def features(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """A row per text, whole numbers of units: log-scaled, length-normed counts of hashed byte trigrams, then shape
-    statistics, then the constant. Empty texts are all 0 but for the constant."""
+    statistics, then the constant. Empty texts are all 0 but for the constant. A text's row depends on that text alone."""
     n, size = len(offsets) - 1, np.diff(offsets)
     out = np.zeros((n, buckets + _SHAPE))
     out[:, -1] = UNIT
     if not len(buf):
         return out
     row = np.repeat(np.arange(n), size)
+    first, last = offsets[:-1][size > 0], offsets[1:][size > 0] - 1
     b = buf.astype(np.uint32)
-    gram = b.copy()
-    gram[1:] |= b[:-1] << np.uint32(8)
-    gram[2:] |= b[:-2] << np.uint32(16)
+    before, further = np.zeros_like(b), np.zeros_like(b)  # what stands before in the same text, else 0
+    before[1:] = b[:-1]
+    before[first] = 0
+    further[1:] = before[:-1]
+    further[first] = 0
+    gram = b | before << np.uint32(8) | further << np.uint32(16)
     gram *= np.uint32(2654435761)
     slot = (gram >> np.uint32(32 - int(buckets).bit_length() + 1)).astype(np.int64)
     for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -57,17 +61,21 @@ def features(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> np
             out[i, :buckets] = c * (UNIT / np.sqrt((c * c).sum()))
     s, e, word_row = _text.words(buf, offsets)
     h, _ = _text.word_hashes(buf, offsets)
-    words = np.maximum(np.bincount(word_row, minlength=n), 1)
+    count = np.bincount(word_row, minlength=n)
+    words = np.maximum(count, 1)
     chars = np.maximum(size, 1)
     share = lambda mask: np.bincount(row[mask], minlength=n) / chars
     mark = (buf > 32) & (buf < 128) & ~(((buf | 32) >= 97) & ((buf | 32) <= 122)) & ~((buf >= 48) & (buf <= 57))
+    after = np.zeros(len(mark), bool)
+    after[:-1] = mark[1:]
+    after[last] = False
     key = np.sort((word_row.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
     fresh = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
     kinds = np.bincount((fresh >> np.uint64(40)).astype(np.int64), minlength=n)
     long = np.bincount(word_row, weights=e - s, minlength=n) / words
     out[:, buckets:-1] = UNIT * np.stack([
         share(mark), share((buf >= 65) & (buf <= 90)), share((buf >= 48) & (buf <= 57)), share(buf >= 128), share(buf == 10), share(buf == 32),
-        kinds / words, long / 10, np.log1p(words) / 10, np.log1p(chars) / 10, share(mark & np.append(mark[1:], False)),
+        kinds / words, long / 10, np.log1p(count) / 10, np.log1p(size) / 10, share(mark & after),
     ], 1)
     return np.minimum(np.rint(out), MOST)
 
@@ -161,7 +169,8 @@ def nonnegative_fit(pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     """Share of positives in U, from histograms of a score over P and U that it wasn't fitted on: the least U-mass over
-    P-mass above a threshold that keeps a tenth of P or more. U's mass gets a one-sided error bound."""
+    P-mass above a threshold that keeps a tenth of P or more. U's mass gets a one-sided error bound, which lifts the estimate
+    on few rows; it is held to 0.05..0.95, and at 0.95 the fit treats U as nearly all positive. ``Model.prior`` reports it."""
     n_pos, n_unl = pos.sum(), unl.sum()
     if min(n_pos, n_unl) < 10:
         return 0.5
