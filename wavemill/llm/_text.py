@@ -76,10 +76,10 @@ def words(buf: np.ndarray, offsets: np.ndarray, part: np.ndarray = BLANK) -> tup
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial sums of lower-cased bytes; see spans()."""
+def prefix(buf: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Running polynomial sums of bytes, A-Z lower-cased unless ``fold`` is False; see spans()."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[FOLD[buf]] * powers(len(buf) + 1)[0][: len(buf)], out=out[1:])
+    np.cumsum(BYTE_CODE[FOLD[buf] if fold else buf] * powers(len(buf) + 1)[0][: len(buf)], out=out[1:])
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavemill.llm import decontam, licenses, lines, lm, media, minhash, pieces, quality, rollup, warc
+from wavemill.llm import decontam, licenses, lines, lm, media, minhash, periodic, pieces, quality, rollup, warc
 from wavemill.llm._store import materialise, new_path
 
 
@@ -98,6 +98,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).withColumnRenamed("id", "doc_id")
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """The contract's repeats: with h the id's crc32 and n words, where h % 10 is 0 each word from a = h / 10 % n on becomes that of the
+    p words from a on whose turn it is, p = 1 + (n - a) / (3 + h / 10 % 8). Other texts, and those without words or id, stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.when(h % 10 == 0, F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w"))
+    a = F.expr("CAST(g % n AS INT)")
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", F.expr("CAST(1 + floor((n - a) / (3 + g % 8)) AS INT)"))
+    again = F.expr("concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), CAST(ceil((n - a) / p) AS INT))), 1, n - a))")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(planted(table(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    found = found.select(F.col("id").alias("doc_id"), "runs", "collapsed", best.alias("b"), listed.alias("listed"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
+        F.expr("b.length * 1000 div -b.period").alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
@@ -109,6 +132,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(string_split_regex({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -142,3 +166,23 @@ ORACLES["op5_minhash_near_dedup"] = f"""
     r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
     SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
     FROM d LEFT JOIN z USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, z.n"""
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)))"
+ORACLES["op12_periodic_runs"] = rf"""
+    WITH t AS (SELECT {_CRC_TABLE} AS tab),
+    c AS (SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+          lambda s, b: xor(s >> 8, tab[(xor(s, b) & 255) + 1])), 4294967295) AS h FROM documents, t),
+    d AS (SELECT doc_id, h, h // 10 AS g, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM c),
+    e AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM d), f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+    x AS (SELECT doc_id, a, p, w, unnest(range(n)) AS i FROM f), v AS (SELECT doc_id, i, CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS v FROM x),
+    k AS (SELECT doc_id, i, concat_ws(' ', v, lead(v, 1) OVER o, lead(v, 2) OVER o, lead(v, 3) OVER o, lead(v, 4) OVER o, lead(v, 5) OVER o) AS k FROM v
+          WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(v, 5) OVER o IS NOT NULL),
+    j AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i),
+    z AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS z FROM j),
+    m AS (SELECT doc_id, q, min(i) AS s, count(*) + 5 + q AS l FROM z GROUP BY doc_id, q, z),
+    r AS (SELECT doc_id, s, l, min(q) AS q FROM m WHERE l >= 12 AND l >= 2 * q GROUP BY doc_id, s, l),
+    y AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+          arg_min(struct_pack(s := s, l := l, q := q), struct_pack(l := -l, s := s, q := q)) AS b FROM r GROUP BY doc_id),
+    u AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+    o AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS kept FROM v ANTI JOIN u USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+           sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN y USING (doc_id) LEFT JOIN o USING (doc_id)"""
