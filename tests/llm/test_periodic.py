@@ -55,7 +55,7 @@ def test_odd_rows(spark):
     a, b = "a", "a b"
     for _ in range(6):
         a, b = b, f"{b} {a}"
-    texts = [None, "", " \t\n ", "x", "a " * 12, "a " * 11, "A a " * 9, "x y " * 40_000, "the cat sat\n" * 5 + "end", "é é é é " * 8, fib, "b" * 100_000, "q r s t u v w q r s t u v w"]
+    texts = [None, "", " \t\n ", "x", "a " * 12, "a " * 11, "A a " * 9, "x y " * 40_000, "the cat sat\n" * 5 + "end", "é é é é " * 8, b, "b" * 100_000, "q r s t u v w q r s t u v w"]
     texts += texts[4:9]
     df = spark.createDataFrame([(i if i != 2 else None, t, 1, "old") for i, t in enumerate(texts)], "doc_id long, text string, runs int, collapsed string")
     for d in (df.coalesce(1), df.repartition(5)):
