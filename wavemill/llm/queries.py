@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavemill.llm import decontam, licenses, lines, lm, media, minhash, periodic, pieces, quality, rollup, warc
+from wavemill.llm import decontam, licenses, lines, lm, media, minhash, periodic, pieces, quality, resample, rollup, warc
 from wavemill.llm._store import materialise, new_path
 
 
@@ -121,6 +121,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
@@ -133,6 +138,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(string_split_regex({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -186,3 +192,19 @@ ORACLES["op12_periodic_runs"] = rf"""
     o AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS kept FROM v ANTI JOIN u USING (doc_id, i) GROUP BY doc_id)
     SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
            sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN y USING (doc_id) LEFT JOIN o USING (doc_id)"""
+ORACLES["op13_importance_resampling"] = rf"""
+    WITH t AS (SELECT {_CRC_TABLE} AS tab),
+    d AS (SELECT 0 AS side, doc_id, {_WORDS} AS w FROM documents UNION ALL SELECT 1, item_id, {_WORDS} FROM benchmark),
+    g AS (SELECT side, doc_id, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS f FROM d, range(1, 4) r(n)),
+    f AS (SELECT DISTINCT f FROM g), h AS (SELECT f, hex(f) AS h FROM f),
+    b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda k: CAST('0x' || h[2 * k + 1:2 * k + 2] AS BIGINT))),
+          lambda s, b: xor(s >> 8, tab[(xor(s, b) & 255) + 1])), 4294967295) % 10000 AS b FROM h, t),
+    c AS (SELECT side, doc_id, b, count(*) AS n FROM g JOIN b USING (f) GROUP BY ALL),
+    s AS (SELECT b, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM c GROUP BY b),
+    z AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM s),
+    a AS (SELECT b, CAST(floor(1000 * ln((s.t + 1) * (z.s + 10000) / ((s.s + 1) * (z.t + 10000)))) AS BIGINT) AS gain FROM s, z),
+    w AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM c JOIN a USING (b) WHERE side = 0 GROUP BY doc_id),
+    v AS (SELECT d.doc_id, len(d.w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+          coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || d.doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (doc_id) WHERE side = 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY words >= 20) AS n FROM v)
+    SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM k"""
