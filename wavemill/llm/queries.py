@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavemill.llm import decontam, licenses, lines, lm, media, minhash, periodic, pieces, quality, resample, rollup, warc
+from wavemill.llm import decontam, licenses, lines, lm, media, minhash, periodic, pieces, pii, quality, resample, rollup, warc
 from wavemill.llm._store import materialise, new_path
 
 
@@ -98,6 +98,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).withColumnRenamed("id", "doc_id")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are of the patterns' spans; ``spans`` holds those of the field too."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x.base)
+    listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+    counts = [F.expr(f"CAST(size(filter(spans, x -> x.base AND x.kind = '{k}')) AS LONG) AS n_{k}") for k in pii.BASE]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """The contract's repeats: with h the id's crc32 and n words, where h % 10 is 0 each word from a = h / 10 % n on becomes that of the
     p words from a on whose turn it is, p = 1 + (n - a) / (3 + h / 10 % 8). Other texts, and those without words or id, stay."""
@@ -137,6 +146,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op11_personal_data": op11_personal_data,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_importance_resampling": op13_importance_resampling,
 }
