@@ -21,60 +21,6 @@ def isotonic(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else np.zeros(0)
 
 
-def unimodal(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
-    """Best fit that rises and then falls, over all turning points."""
-    w = np.ones(len(y)) if w is None else w
-    best, out = np.inf, y
-    for k in range(len(y) + 1):
-        f = np.concatenate([isotonic(y[:k], w[:k]), isotonic(y[k:][::-1], w[k:][::-1])[::-1]])
-        e = float((w * (f - y) ** 2).sum())
-        if e < best:
-            best, out = e, f
-    return out
-
-
-def dip_score(x: np.ndarray, least: int = 4) -> tuple[float, float]:
-    """(score, cut): how far cumulated counts of a sample are from a unimodal density's, and where its gap lies.
-
-    Spacings of about 2 * sqrt(n / 2) quantiles give a step density; its unimodal fit predicts counts, compared by a
-    Kolmogorov-Smirnov statistic scaled by sqrt(n). The cut is where the fit exceeds the density most near the peak.
-    """
-    x = np.sort(np.asarray(x, float))
-    n = len(x)
-    if n < 2 * least:
-        return 0.0, float("nan")
-    k = max(4, int(np.ceil(2 * np.sqrt(n / 2))))
-    edge = x[np.unique(np.round(np.linspace(0, n - 1, k)).astype(int))]
-    edge = np.unique(edge)
-    if len(edge) < 4:
-        return 0.0, float("nan")
-    count = np.histogram(x, edge)[0].astype(float)
-    width = np.diff(edge)
-    density = count / width
-    fit = unimodal(density, width)
-    made = fit * width * (count.sum() / max((fit * width).sum(), 1e-12))
-    gap = np.abs(np.cumsum(count) - np.cumsum(made)).max() / count.sum()
-    at = int(np.argmax((fit - density) * width))
-    return float(gap * np.sqrt(count.sum())), float((edge[at] + edge[at + 1]) / 2)
-
-
-def dip_test(df: DataFrame, unit: str, value: str) -> DataFrame:
-    """(unit, n, score, cut) per unit."""
-    kind = df.schema[unit].dataType.simpleString()
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        s, c = dip_score(p[value].dropna().to_numpy())
-        return pd.DataFrame({unit: [p[unit].iloc[0]], "n": [len(p)], "score": [s], "cut": [c]})
-
-    return df.select(unit, value).groupBy(unit).applyInPandas(run, f"{unit} {kind}, n long, score double, cut double")
-
-
-def split_by_dip(df: DataFrame, unit: str, value: str, threshold: float = 1.0) -> DataFrame:
-    """Adds ``part``: 1 for rows above the cut of a unit whose score reaches the threshold. The cut is joined back."""
-    cuts = dip_test(df, unit, value).where(F.col("score") >= threshold).select(unit, "cut")
-    return df.join(cuts, unit, "left").withColumn("part", F.coalesce((F.col(value) > F.col("cut")).cast("int"), F.lit(0))).drop("cut")
-
-
 def isotonic_fit(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """df with ``fit``, the non-decreasing fit of y over x per key."""
 

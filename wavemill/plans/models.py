@@ -6,18 +6,36 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from wavemill import catalog as C
-from wavemill.operators import kernels as K, motion as M
+from wavemill.operators import kernels as K, motion as M, splits as D
 from wavemill.operators.windows import halo
 
 
 @C.register()
 def dip_test(spark, sf) -> DataFrame:
-    return K.dip_test(C.stream(spark, sf), "ch", "v")
+    return D.dip_test(C.stream(spark, sf), "ch", "v")
 
 
 @C.register()
 def split_by_dip(spark, sf) -> DataFrame:
-    return K.split_by_dip(C.stream(spark, sf), "unit", "v").groupBy("unit", "part").agg(F.count("*").alias("n"))
+    """Parts of each unit's amplitudes."""
+    return D.split(C.stream(spark, sf), ["unit"], "v").groupBy("unit", "part").agg(F.count("*").alias("n"))
+
+
+@C.register()
+def coordinate_splits(spark, sf) -> DataFrame:
+    """Parts that all snippets' values split into, place by place."""
+    values = C.snippets(spark, sf).select(F.posexplode("x").alias("place", "v"))
+    return D.parts(values, ["place"], "v").select("place", C.r6("low"), C.r6("high"), "size")
+
+
+@C.register()
+def split_units_until_stable(spark, sf) -> DataFrame:
+    """Units of snippets split along amplitude, place of the peak and centre of mass in turn until no part splits."""
+    size = F.transform("x", lambda v: F.abs(v))
+    total = F.aggregate(size, F.lit(0.0), lambda s, v: s + v)
+    centre = F.aggregate(F.transform(size, lambda v, i: v * i), F.lit(0.0), lambda s, v: s + v) / total
+    rows = C.snippets(spark, sf).select("vec_id", "unit", F.array_max("x").alias("high"), F.array_min("x").alias("low"), centre.alias("centre"))
+    return D.split_until_stable(rows, "unit", ["high", "low", "centre"]).select("vec_id", "unit", "part")
 
 
 @C.register()
