@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
+from wavemill.operators.order import written
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    return written(df, "graph")
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from wavemill import catalog as C
-from wavemill.operators import kernels as K, motion as M, splits as D
+from wavemill.operators import density as N, kernels as K, motion as M, splits as D
 from wavemill.operators.windows import halo
 
 
@@ -38,6 +38,16 @@ def split_units_until_stable(spark, sf) -> DataFrame:
     return D.split_until_stable(rows, "unit", ["high", "low", "centre"]).select("vec_id", "unit", "part")
 
 
+@C.register()
+def density_clusters(spark, sf) -> DataFrame:
+    """Snippets by place of their mean energy and log amplitude."""
+    energy = F.transform("x", lambda v: v * v)
+    total = F.aggregate(energy, F.lit(0.0), lambda s, v: s + v)
+    centre = F.aggregate(F.transform(energy, lambda v, i: v * i), F.lit(0.0), lambda s, v: s + v) / total
+    rows = C.snippets(spark, sf).select("vec_id", centre.alias("z"), (50 * F.log(5 + F.array_max("x") - F.array_min("x"))).alias("size"))
+    return N.cluster(rows, "vec_id", ["z", "size"], reach=4.0, samples=10, least=25).select("vec_id", "cluster", C.r6("strength"))
+
+
 @C.register()
 def isotonic_fit(spark, sf) -> DataFrame:
     monthly = C.stream(spark, sf).groupBy("unit", F.floor(F.col("t") / (30 * C.DAY)).alias("month")).agg(F.avg("v").alias("mean"))
