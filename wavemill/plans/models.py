@@ -95,6 +95,36 @@ def drift_corrected_depth(spark, sf) -> DataFrame:
     return M.correct_depths(C.stream(spark, sf).select("event_id", "t", "v"), motion, "t", "v").select("event_id", F.round("corrected", 6).alias("corrected"))
 
 
+@C.register()
+def robust_registration(spark, sf) -> DataFrame:
+    """As rigid_registration, without pairs whose residual stands out, in five fits."""
+    lags = M.pair_lags(C.cells(spark, sf), 3, span=8)
+    return M.solve_displacement(lags, sigma=2.0, smooth=0.1).select("t", F.round("displacement", 6).alias("displacement"))
+
+
+def _windows(spark, sf, n: int = 3):
+    """(cells, depth windows, their centres) of the raster."""
+    cells = C.cells(spark, sf)
+    low, high = cells.agg(F.min("d"), F.max("d")).first()
+    step = (high - low) / n
+    return cells, M.depth_windows(spark, float(low), float(high), n, step / 2), [low + (k + 0.5) * step for k in range(n)]
+
+
+@C.register()
+def nonrigid_registration(spark, sf) -> DataFrame:
+    cells, windows, _ = _windows(spark, sf)
+    motion = M.register_windows(M.windowed_lags(cells, windows, 3, 8))
+    return motion.select("t", "w", F.round("displacement", 6).alias("displacement"))
+
+
+@C.register()
+def nonrigid_corrected_depth(spark, sf) -> DataFrame:
+    cells, windows, centres = _windows(spark, sf)
+    motion = M.register_windows(M.windowed_lags(cells, windows, 3, 8))
+    at = M.displacement_at(C.stream(spark, sf).select("event_id", "t", "v"), motion, centres, "t", "v", width=7 * C.DAY)
+    return at.select("event_id", F.round(F.col("v") - F.col("displacement"), 6).alias("corrected"))
+
+
 @C.register(
     f"""WITH {C.RASTER}, j AS (SELECT a.t AS i, b.t AS j, CAST(k AS BIGINT) AS lag, sum(a.mean * b.mean) AS s FROM c a JOIN range(-3, 4) r(k) ON true JOIN c b ON b.d - k = a.d AND a.t < b.t AND b.t - a.t <= 8 GROUP BY ALL),
 p AS (SELECT t, sum(mean * mean) AS p FROM c GROUP BY t), q AS (SELECT i, j, lag, round(s / sqrt(x.p * y.p), 9) AS c FROM j JOIN p x ON x.t = i JOIN p y ON y.t = j),
