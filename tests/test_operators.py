@@ -203,18 +203,20 @@ def test_point_sources_are_located(spark):
     assert got[90].x is None and got[91].strength is None
 
 
-def test_nearest_points_beyond_the_first_grid(spark):
+def test_nearest_points_beyond_the_first_grid(spark, monkeypatch):
     """Two far clusters and a lone point: searches widen until each has its neighbours; brute force over all pairs."""
     rng = np.random.default_rng(6)
     pts = [*rng.uniform(0, 3, (30, 2)).tolist(), *rng.uniform(900, 903, (3, 2)).tolist(), [5000.0, -40.0], [1.0, 1.0], [1.0, 1.0]]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "k long, x double, z double")
-    got = sorted((r.k, r["rank"], r.other) for r in J.knn(df, "k", ["x", "z"], 4, 0.5).collect())
+    got, evenly = (sorted((r.k, r["rank"], r.other) for r in J.knn(df, "k", ["x", "z"], 4, cell).collect()) for cell in (0.5, None))
     want = []
     for i, p in enumerate(pts):
         d = sorted((math.sqrt((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2), j) for j, q in enumerate(pts) if j != i)
         want += [(i, n + 1, j) for n, (_, j) in enumerate(d[:4])]
-    assert got == sorted(want)
-    assert J.knn(df.limit(0), "k", ["x", "z"], 4, 0.5).count() == 0
+    assert got == sorted(want) and evenly == got
+    monkeypatch.setattr(J, "BLOCK", 7)
+    assert sorted((r.k, r["rank"], r.other) for r in J.knn(df, "k", ["x", "z"], 4).collect()) == got
+    assert J.knn(df.limit(0), "k", ["x", "z"], 4).count() == 0
 
 
 def test_interpolation_by_stretches(spark, monkeypatch):

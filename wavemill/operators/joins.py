@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from wavemill.operators.order import written
+
 #: Knots of a stretch of interpolate().
 KNOTS = 1024
+#: Points of a cell of knn(), about, and at most of a block.
+NEAR, BLOCK = 256, 1024
 
 
 def band_join(a: DataFrame, b: DataFrame, ta: str, tb: str, tolerance: float, keys: list[tuple[str, str]] = (), how: str = "inner") -> DataFrame:
@@ -125,38 +133,77 @@ def interpolate(points: DataFrame, knots: DataFrame, x: str, kx: str, ky: str, t
     return met.select(*[at[c] for c in points.columns], y.alias(to))
 
 
-def knn(points: DataFrame, key: str, xs: list[str], k: int, cell: float) -> DataFrame:
+def knn(points: DataFrame, key: str, xs: list[str], k: int, cell: float | None = None) -> DataFrame:
     """(key, other, distance, rank): the k nearest other points of each, ties by the other's key.
 
-    Candidates come from a grid's cell and its neighbours; a point whose k-th distance exceeds the cell's width, or which
-    has too few candidates, is searched again in a grid of twice the width. Each round only has the points left over, and
-    rounds end when the grid spans the data. Fewer than k rows come only where there are fewer other points.
+    Points lie in a grid over the first two axes whose cells hold about NEAR points if the middle nine tenths are spread
+    evenly, wherever the rest lies; ``cell`` sets another first width. A cell of more than BLOCK points is dealt into blocks, and each pair of blocks of neighbouring cells
+    is a task that returns its k nearest per point, so no pair of points is ever a row. A point whose k-th distance exceeds
+    the cell's width, or which has too few candidates, is searched again in a grid four times as wide; rounds end when the
+    grid spans the data. Fewer than k rows come only where there are fewer other points. Points without a place have none.
     """
-    spark = points.sparkSession
-    pts = points.select(key, *xs)
-    box = pts.agg(F.count(F.lit(1)), *[f(c) for c in xs[:2] for f in (F.min, F.max)]).first()
-    span = max([box[2 + 2 * i] - box[1 + 2 * i] for i in range(len(xs[:2]))]) if box[0] else 0.0
-    left, found = pts, None
-    other = pts.toDF("_o", *[f"_{c}" for c in xs])
+    grid = xs[:2]
+    pts = points.select(F.col(key).alias("id"), *[F.col(x).cast("double").alias(x) for x in xs])
+    for x in xs:
+        pts = pts.where(F.col(x).isNotNull() & ~F.isnan(x))
+    pts = written(pts, "points")
+    middle = [F.percentile_approx(c, [0.05, 0.95]) for c in grid]
+    box = pts.agg(F.count(F.lit(1)), *[f(c) for c in grid for f in (F.min, F.max)], *middle).first()  # one row
+    span = max(box[2 + 2 * i] - box[1 + 2 * i] for i in range(len(grid))) if box[0] else 0.0
+    if cell is None:
+        sides = [box[1 + 2 * len(grid) + i] for i in range(len(grid))] if box[0] else []
+        sides = [b - a for a, b in sides if b > a] or [span or 1.0]
+        thick = [s for s in sides if s > 0.01 * max(sides)]
+        cell = max((float(np.prod(thick)) * NEAR / max(1, box[0])) ** (1 / len(thick)), 1e-9 * (span or 1.0))
+    kind = pts.schema["id"].dataType.simpleString()
+    left, found = pts, []
+    at = lambda df: df.withColumns({f"_c{i}": F.floor(F.col(x) / cell).cast("long") for i, x in enumerate(grid)})  # noqa: B023, E731
+    names, others = [f"_c{i}" for i in range(len(grid))], [f"_o{i}" for i in range(len(grid))]
+
+    def nearest(q: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        o = o.sort_values("id")
+        d = np.zeros((len(q), len(o)))
+        for x in xs:
+            d += (q[x].to_numpy()[:, None] - o[x].to_numpy()[None, :]) ** 2
+        d = np.sqrt(d)
+        d[q["id"].to_numpy()[:, None] == o["id"].to_numpy()[None, :]] = np.inf
+        if not d.size:
+            return pd.DataFrame({"id": q["id"].iloc[:0], "other": o["id"].iloc[:0], "distance": np.zeros(0)})
+        kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        row, col = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+        order = np.lexsort((col, d[row, col], row))
+        row, col = row[order], col[order]
+        use = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[use], col[use]
+        return pd.DataFrame({"id": q["id"].to_numpy()[row], "other": o["id"].to_numpy()[col], "distance": d[row, col]})
+
     while True:
-        d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in xs), F.lit(0.0)))
-        a, b, on = left, other, F.lit(True)
-        for i, c in enumerate(xs[:2]):
-            a = a.withColumn(f"_c{i}", F.floor(F.col(c) / cell))
-            b = b.withColumn(f"_d{i}", F.explode(F.array(*[F.floor(F.col(f"_{c}") / cell) + j for j in (-1, 0, 1)])))
-            on = on & (F.col(f"_c{i}") == F.col(f"_d{i}"))
-        near = a.join(b, on & (F.col(key) != F.col("_o"))).select(key, F.col("_o").alias("other"), d.alias("distance"))
-        best = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "other"))).where(F.col("rank") <= k)
+        sizes = written(at(pts).groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts")), "cells")
+        part = lambda df: df.withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+        asking = part(at(left).join(sizes, names))
+        steps = F.array(*[F.struct(*[F.lit(v).alias(f"s{i}") for i, v in enumerate(s)]) for s in itertools.product((-1, 0, 1), repeat=len(grid))])
+        cells = asking.groupBy(*names).agg(F.max("_parts").alias("_mine")).withColumn("_s", F.explode(steps))
+        cells = cells.select(*names, "_mine", *[(F.col(n) + F.col(f"_s.s{i}")).alias(o) for i, (n, o) in enumerate(zip(names, others, strict=True))])
+        near = written(cells.join(sizes.toDF(*others, "_theirs"), others), "near")
+        q = asking.join(near, names).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_theirs") - 1))).select(*names, *others, "_p", "_q", "id", *xs)
+        o = part(at(pts).join(sizes, names)).withColumnsRenamed({**dict(zip(names, others, strict=True)), "_p": "_q"})
+        o = o.join(near, others).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_mine") - 1))).select(*[F.col(c).alias(c) for c in (*names, *others, "_p", "_q", "id", *xs)])
+        by = [*names, *others, "_p", "_q"]
+        met = q.groupBy(*by).cogroup(o.groupBy(*by)).applyInPandas(nearest, f"id {kind}, other {kind}, distance double")
+        lists = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k).alias("near"))  # k of each block met
+        done = F.lit(True) if cell > 2 * span else (F.size("near") == k) & (F.element_at("near", -1)["distance"] <= cell)
+        best = written(lists.withColumn("_sure", done), "nearest")
+        found.append(best.where("_sure"))
         if cell > 2 * span:
-            return (best if found is None else found.unionByName(best)).withColumn("rank", F.col("rank").cast("long"))
-        best = best.checkpoint() if spark.sparkContext.getCheckpointDir() else best
-        sure = best.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_m")).where((F.col("_n") == k) & (F.col("_m") <= cell)).select(key)
-        good = best.join(sure, key, "left_semi")
-        found = good if found is None else found.unionByName(good)
-        left = left.join(sure, key, "left_anti")
+            break
+        left = written(left.join(best.where("_sure"), "id", "left_anti"), "left")
         if left.isEmpty():
-            return found.withColumn("rank", F.col("rank").cast("long"))
-        cell *= 2
+            break
+        cell *= 4
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select(F.col("id").alias(key), F.posexplode("near").alias("_r", "_n")).select(key, F.col("_n.other").alias("other"), F.col("_n.distance").alias("distance"), (F.col("_r") + 1).cast("long").alias("rank"))
 
 
 def agreement_matrix(matches: DataFrame, a: DataFrame, b: DataFrame, unit_a: str = "unit_a", unit_b: str = "unit_b") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from wavemill import catalog as C
-from wavemill.operators import density as N, kernels as K, motion as M, splits as D
+from wavemill.operators import density as N, filters as L, kernels as K, motion as M, splits as D
 from wavemill.operators.windows import halo
 
 
@@ -83,6 +83,28 @@ def matching_pursuit(spark, sf) -> DataFrame:
     return K.pursue(C.stream(spark, sf), "unit", ["t", "event_id"], "v", shape, 2000.0)
 
 
+def _hourly(spark, sf) -> DataFrame:
+    """(ch, n, x, late): events per hour and channel from the first event's hour on, with 0 where there is none."""
+    e = C.stream(spark, sf).select("ch", F.floor(F.col("t") / C.HOUR).alias("h"))
+    low, high = e.agg(F.min("h"), F.max("h")).first()
+    grid = spark.range(high - low + 1).withColumnRenamed("id", "n").crossJoin(F.broadcast(e.select("ch").distinct()))  # few channels
+    counts = e.groupBy("ch", (F.col("h") - low).alias("n")).agg(F.count(F.lit(1)).cast("double").alias("x"))
+    return grid.join(counts, ["ch", "n"], "left").select("ch", "n", F.coalesce("x", F.lit(0.0)).alias("x"), (F.pmod(F.crc32(F.col("ch").cast("binary")), F.lit(12)) / 12).alias("late"))
+
+
+@C.register()
+def zero_phase_filter(spark, sf) -> DataFrame:
+    """Hourly counts between one wave in ten days and one in eight hours."""
+    band = L.butterworth(3, "bandpass", 24.0, 0.1, 3.0)
+    return L.zero_phase(_hourly(spark, sf), ["ch"], "n", "x", band).select("ch", "n", C.r6("filtered"))
+
+
+@C.register()
+def phase_shifted(spark, sf) -> DataFrame:
+    """Hourly counts of channels that are read one after the other, moved to a common time."""
+    return L.phase_shift(_hourly(spark, sf), ["ch"], "n", "x", "late").select("ch", "n", C.r6("shifted"))
+
+
 @C.register()
 def rigid_registration(spark, sf) -> DataFrame:
     lags = M.pair_lags(C.cells(spark, sf), 3, span=8)

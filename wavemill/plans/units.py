@@ -48,7 +48,7 @@ m AS (SELECT c, avg(d) AS density FROM k WHERE r <= 5 GROUP BY c)"""
 
 def _five_nearest(spark, sf, z) -> DataFrame:
     n = C.table(spark, sf, "part").select(F.col("p_partkey").alias("c"), F.col("p_size").cast("double").alias("x"), z.alias("z"), "p_retailprice")
-    near = J.knn(n, "c", ["x", "z"], 5, 4.0).groupBy("c").agg(F.avg("distance").alias("density"))
+    near = J.knn(n, "c", ["x", "z"], 5).groupBy("c").agg(F.avg("distance").alias("density"))
     return n.join(near, "c")
 
 
@@ -172,7 +172,7 @@ def half_amplitude_width(spark, sf) -> DataFrame:
 SELECT c, other, round(d, 6) AS distance, r AS rank FROM k WHERE r <= 4""")
 def nearest_channels(spark, sf) -> DataFrame:
     n = C.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c"), F.col("s_nationkey").cast("double").alias("x"), F.col("s_acctbal").alias("z"))
-    return J.knn(n, "c", ["x", "z"], 4, 100.0).select("c", "other", C.r6("distance"), "rank")
+    return J.knn(n, "c", ["x", "z"], 4).select("c", "other", C.r6("distance"), "rank")
 
 
 @C.register("""WITH n AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS c, count(*) OVER () AS n FROM supplier) SELECT c, greatest(least(c - 4, n - 9), 0) AS first, least(greatest(least(c - 4, n - 9), 0) + 8, n - 1) AS last FROM n""")
