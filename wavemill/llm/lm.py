@@ -101,7 +101,7 @@ class Level:
     """Children of parents: a monotone sequence of parent << bits | symbol, and pointers to where each parent's children start."""
 
     def __init__(self, seq: EliasFano, ptr: EliasFano, bits: int):
-        self.seq, self.ptr, self.bits, self._plain = seq, ptr, bits, None
+        self.seq, self.ptr, self.bits, self._plain, self.expected = seq, ptr, bits, None, 0
 
     @staticmethod
     def build(parent: np.ndarray, symbol: np.ndarray, parents: int, bits: int) -> Level:
@@ -110,14 +110,15 @@ class Level:
     def find(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Place of each parent's child, -1 where there is none (or no parent): the successor within the parent's range.
 
-        Where a batch asks for more than the level holds, the level is decoded once and searched as it is.
+        Where more than a quarter of what the level holds is asked for, in this batch or in all that are ``expected``, the level is
+        decoded once and searched as it is.
         """
         out = np.full(len(parent), -1)
         ask = np.flatnonzero((parent >= 0) & (symbol >= 0))
         if not len(ask) or not self.seq.n:
             return out
         want = (parent[ask] << self.bits) | symbol[ask]
-        if self._plain is None and 4 * len(ask) > self.seq.n:
+        if self._plain is None and 4 * max(len(ask), self.expected) > self.seq.n:
             self._plain = self.seq.all()
         if self._plain is not None:
             at = np.minimum(np.searchsorted(self._plain, want), self.seq.n - 1)
@@ -205,6 +206,11 @@ class Trie:
         values = {"p2": p2, "p3": p3, "spare1": spare1, "spare2": spare2}
         return Trie(levels, {k: quantise(np.asarray(v, np.float64)) for k, v in values.items()})
 
+    def expect(self, queries: int) -> None:
+        """Says how many queries are to come in all, in however many batches."""
+        for level in self.levels.values():
+            level.expected = queries
+
     def cost(self, b: np.ndarray, a: np.ndarray, c: np.ndarray, q1: np.ndarray) -> np.ndarray:
         """Quanta of -log10 p(c | a b), of corpus-wide numbers; q1: those of p(c)."""
         lv, v = self.levels, self.values
@@ -218,7 +224,7 @@ class Trie:
         head = child(lv["heads"], np.where(b >= 0, 0, -1), b)
         two, ctx = child(lv["two"], head, c), child(lv["pre"], head, a)
         three = child(lv["three"], ctx, c)
-        get = lambda name, at: np.append(v[name].astype(np.int64), 0)[at]  # noqa: E731  -1 takes the 0
+        get = lambda name, at: np.where(at >= 0, v[name][at], 0).astype(np.int64) if len(v[name]) else np.zeros(len(at), np.int64)
         bigram = np.where(two >= 0, get("p2", two), get("spare1", head) + q1)
         return np.where(three >= 0, get("p3", three), get("spare2", ctx) + bigram)
 
@@ -525,8 +531,10 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
                     counted.append(unpack_grams(r["data"]))
                 else:  # stays packed
                     held.append((r["chunk"], r["data"]))
+            asked = 0
             for _, data in held:
                 b, a, c, x, q1 = unpack_grams(data)
+                asked += len(b)
                 t = np.flatnonzero(x & 1)
                 if len(t):
                     counted.append(_folded(b[t], a[t], c[t], np.ones(len(t), np.int64), np.where(c[t] > 0, q1[t], 0)))
@@ -534,6 +542,7 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
                     counted = [_merged(counted)]
             columns = [np.concatenate([p[k] for p in counted]) for k in range(5)] if counted else [np.zeros(0, np.uint32)] * 4 + [np.zeros(0, np.uint16)]
             trie, counted = Trie.load(Trie.build(*columns).to_bytes()), []
+            trie.expect(asked)
             for chunk, data in held:
                 b, a, c, x, q1 = unpack_grams(data)
                 sums = np.bincount(x >> 1, trie.cost(b, a, c, q1))
