@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wavemill import catalog as C
-from wavemill.operators import density as N, filters as L, kernels as K, motion as M, splits as D
+from wavemill.operators import deconv as Q, density as N, filters as L, kernels as K, motion as M, splits as D
 from wavemill.operators.windows import halo
 
 
@@ -105,6 +105,32 @@ def phase_shifted(spark, sf) -> DataFrame:
     return L.phase_shift(_hourly(spark, sf), ["ch"], "n", "x", "late").select("ch", "n", C.r6("shifted"))
 
 
+def _frames(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(frames (n, x): all channels' hourly counts in standard deviations; templates (unit, x): a channel's mean course from four
+    hours before its count stands 2.5 deviations out to seven hours after, on all channels)."""
+    hours = _hourly(spark, sf)
+    level = hours.groupBy("ch").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    names = level.select("ch", F.row_number().over(Window.orderBy("ch")).alias("unit"))  # few channels
+    z = F.when(F.col("sd") > 0, (F.col("x") - F.col("mean")) / F.col("sd")).otherwise(0.0)
+    hours = hours.join(F.broadcast(level), "ch").join(F.broadcast(names), "ch").select("unit", "n", z.alias("z"))
+    row = F.array_sort(F.collect_list(F.struct("unit", "z")))
+    frames = hours.groupBy("n").agg(F.transform(row, lambda r: r.z).alias("x"))
+    starts = hours.where("z >= 2.5").select("unit", "n", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    around = starts.select("unit", (F.col("n") - 4 + F.col("k")).alias("n"), "k").join(frames, "n")
+    mean = around.select("unit", "k", F.posexplode("x").alias("c", "v")).groupBy("unit", "k", "c").agg(F.avg("v").alias("v"))
+    lines = mean.groupBy("unit", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda r: r.v).alias("v"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda r: r.v)
+    return frames, lines.groupBy("unit").agg(whole.alias("x")).where(F.size("x") == 12)
+
+
+@C.register()
+def template_pursuit(spark, sf) -> DataFrame:
+    """Courses of the channels' bursts found in the hourly counts of all channels, in chunks of 50 days."""
+    frames, templates = _frames(spark, sf)
+    got = Q.pursue(frames, templates, "n", "x", 4.0, chunk=1200, rank=3, visible=0.5, ridge=0.1, spread=1.0)
+    return got.select("start", "unit", "shift", C.r6("scale"), C.r6("gain"), "round")
+
+
 @C.register()
 def rigid_registration(spark, sf) -> DataFrame:
     lags = M.pair_lags(C.cells(spark, sf), 3, span=8)
