@@ -520,4 +520,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship_detection(spark, sf_dir)
 
 
-from wavemill.plans import models as _models, more as _more, units as _units  # noqa: E402,F401  they register their queries
+from wavemill.plans import models as _models, more as _more, quality as _quality, units as _units  # noqa: E402,F401  they register their queries
