@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import DataFrame, functions as F
 
 from wavemill import catalog as C
-from wavemill.operators import contamination as Q
+from wavemill.operators import contamination as Q, triage as T
 
 WIDTH = 2 * C.HOUR
 
@@ -38,3 +40,29 @@ def contamination_cuts(spark, sf) -> DataFrame:
     """The amplitude from which on each unit's events are clean."""
     got = Q.cuts(C.stream(spark, sf), "unit", "t", "v", "event_id", WIDTH)
     return got.select("unit", "cut", "n", "kept", C.r6("rate"), C.r6("ratio"), C.r6("z"))
+
+
+def _region_sql() -> str:
+    raw = {i: exp(-0.5 * (i / 5) ** 2) for i in range(-20, 21)}
+    weights = ", ".join(f"({i}, {w / sum(raw.values())!r}::DOUBLE)" for i, w in raw.items())
+    return f"""WITH n AS (SELECT p_partkey AS c, CAST(p_partkey % 100 AS DOUBLE) AS x, p_retailprice / 10 AS z, CAST(p_size AS DOUBLE) AS a FROM part WHERE p_size > 3),
+f AS (SELECT *, 50 * ln(5 + a) AS y FROM n),
+k AS (SELECT a.c, sqrt(pow(a.x - b.x, 2) + pow(a.z - b.z, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.c ORDER BY d, b.c) AS r FROM f a JOIN f b ON a.c <> b.c),
+m AS (SELECT c, z, a, d FROM n JOIN (SELECT c, avg(d) AS d FROM k WHERE r <= 5 GROUP BY c) USING (c)),
+t AS (SELECT min(z) AS low, max(d) AS most, CAST(ceil((max(z) - min(z)) / 5) AS BIGINT) AS steps FROM m),
+b AS (SELECT CAST(floor((z - low) / 5) AS BIGINT) + 1 AS k, avg(d) AS mean FROM m, t GROUP BY 1),
+g AS (SELECT e.k, coalesce(mean, most) AS mean FROM (SELECT unnest(range(0, steps)) AS k, most FROM t) e LEFT JOIN b ON b.k = e.k),
+w(i, w) AS (VALUES {weights}),
+u AS (SELECT g.k + i AS k, sum(mean * w) AS usual FROM g, w, t WHERE g.k + i BETWEEN 0 AND steps - 1 GROUP BY 1),
+l AS (SELECT k, usual, coalesce(lead(usual) OVER o - usual, usual - lag(usual) OVER o, 0) / 5 AS slope FROM u WINDOW o AS (ORDER BY k)),
+v AS (SELECT c, d, a, usual + slope * (z - low - k * 5) AS usual FROM m, t, l WHERE k = least(floor((z - low) / 5), steps - 1)),
+s AS (SELECT c, d, CASE WHEN usual > 0 THEN ln(d) - ln(usual) - ln(50 * ln(a)) END AS score FROM v), q AS (SELECT quantile_cont(score, 0.8) AS q FROM s)
+SELECT c, round(d, 6) AS distance, round(score, 6) AS score, coalesce(score <= q, false) AS kept FROM s, q"""
+
+
+@C.register(_region_sql())
+def triage_by_region(spark, sf) -> DataFrame:
+    """Points close to their neighbours, by what is usual at their depth."""
+    z = (F.col("p_retailprice") / 10).alias("z")
+    n = C.table(spark, sf, "part").select(F.col("p_partkey").alias("c"), (F.col("p_partkey") % 100).alias("x"), z, F.col("p_size").alias("a"))
+    return T.region_adaptive(n, "c", "x", "z", "a").select("c", C.r6("distance"), C.r6("score"), "kept")
