@@ -7,7 +7,7 @@ from math import exp
 from pyspark.sql import DataFrame, functions as F
 
 from wavemill import catalog as C
-from wavemill.operators import contamination as Q, triage as T
+from wavemill.operators import contamination as Q, dependence as D, triage as T
 
 WIDTH = 2 * C.HOUR
 
@@ -66,3 +66,15 @@ def triage_by_region(spark, sf) -> DataFrame:
     z = (F.col("p_retailprice") / 10).alias("z")
     n = C.table(spark, sf, "part").select(F.col("p_partkey").alias("c"), (F.col("p_partkey") % 100).alias("x"), z, F.col("p_size").alias("a"))
     return T.region_adaptive(n, "c", "x", "z", "a").select("c", C.r6("distance"), C.r6("score"), "kept")
+
+
+@C.register(
+    """WITH n AS (SELECT p_partkey AS c, p_retailprice AS y, CAST(p_partkey % 1000 AS DOUBLE) AS a, CAST(p_size AS DOUBLE) AS b FROM part),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY y, c) AS DOUBLE) AS r, CAST(count(*) OVER () AS DOUBLE) AS n FROM n),
+k AS (SELECT x.r, x.n, z.r AS s, row_number() OVER (PARTITION BY x.c ORDER BY sqrt(pow(x.a - z.a, 2) + pow(x.b - z.b, 2)), z.c) AS k FROM r x JOIN r z ON x.c <> z.c)
+SELECT CAST(max(n) AS BIGINT) AS n, round(sum(n * least(r, s) - (n - r + 1) * (n - r + 1)) / sum((n - r + 1) * (n - (n - r + 1))), 6) AS dependence FROM k WHERE k = 1"""
+)
+def conditional_dependence(spark, sf) -> DataFrame:
+    """Of prices on a part's place in its thousand and its size."""
+    n = C.table(spark, sf, "part").select(F.col("p_partkey").alias("c"), "p_retailprice", (F.col("p_partkey") % 1000).alias("a"), F.col("p_size").alias("b"))
+    return D.conditional_dependence(n, "c", "p_retailprice", ["a", "b"]).select("n", C.r6("dependence"))
