@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wavemill import catalog as C
-from wavemill.operators import deconv as Q, density as N, filters as L, kernels as K, motion as M, splits as D
+from wavemill.operators import deconv as Q, density as N, filters as L, kernels as K, latent as H, motion as M, splits as D
 from wavemill.operators.windows import halo
 
 
@@ -66,6 +66,19 @@ def temporal_pca(spark, sf) -> DataFrame:
     return K.project(s, "x", mean, axes).select("vec_id", "unit", F.transform("scores", lambda v: F.round(v, 6)).alias("scores"))
 
 
+@C.register()
+def latent_imputation(spark, sf) -> DataFrame:
+    """Each snippet with every seventh value hidden, from another place on by id: root mean square of what is hidden and of its error."""
+    s = C.snippets(spark, sf)
+    hide = lambda i: (i + F.col("vec_id")) % 7 == 0
+    s = s.withColumn("part", F.transform("x", lambda v, i: F.when(~hide(i), v)))
+    got = H.fill(s, "part", H.fit(s, "part", 4, rounds=15))
+    rms = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, v: t + v * v) / F.size(a))
+    hidden = F.filter(F.transform("x", lambda v, i: F.when(hide(i), v)), lambda v: v.isNotNull())
+    error = F.filter(F.transform("x", lambda v, i: F.when(hide(i), v - F.col("filled")[i])), lambda v: v.isNotNull())
+    return got.select("vec_id", "unit", C.r6(rms(hidden), "hidden"), C.r6(rms(error), "error"))
+
+
 @C.register()
 def linkage_merge(spark, sf) -> DataFrame:
     pairs = C.template_shift_distance(spark, sf).toPandas()  # a row per pair of units
