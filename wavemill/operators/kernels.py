@@ -21,24 +21,49 @@ def isotonic(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else np.zeros(0)
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], run, schema: str) -> DataFrame:
+    """``run``(rows of one group, in order, keys and all) for each group. Groups are dealt whole into sorted partitions and taken batch
+    by batch, so many small groups cost what their rows cost; no more than a batch and the group that it cuts is held."""
+
+    def batches(frames):
+        rest = None
+        for p in frames:
+            p = p if rest is None else pd.concat([rest, p], ignore_index=True)
+            cut = np.flatnonzero(np.any([(p[k].ne(p[k].shift()) & ~(p[k].isna() & p[k].shift().isna())).to_numpy() for k in keys], axis=0))
+            if len(p) and (not len(cut) or cut[0]):
+                cut = np.concatenate([[0], cut])
+            if len(cut) > 1:
+                yield from whole(p.iloc[: cut[-1]], cut[:-1])
+            rest = p.iloc[cut[-1] :].reset_index(drop=True) if len(cut) else p
+        if rest is not None and len(rest):
+            yield from whole(rest, np.array([0]))
+
+    def whole(p, starts):
+        got = run(p, starts)
+        if len(got):
+            yield got
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(batches, schema)
+
+
 def isotonic_fit(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """df with ``fit``, the non-decreasing fit of y over x per key."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([x, y])
-        return p.assign(fit=isotonic(p[y].to_numpy()))
+    def run(p: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        v = p[y].to_numpy()
+        return p.assign(fit=np.concatenate([isotonic(part) for part in np.split(v, starts[1:])]))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(key).applyInPandas(run, f"{fields}, fit double")
+    return by_group(df, [key], [x, y], run, f"{fields}, fit double")
 
 
 def best_subset(t: np.ndarray, score: np.ndarray, dead: int) -> np.ndarray:
     """Mask of the largest subset whose neighbours are ``dead`` or more apart; of those, the one of least score; of those, the one whose last event is earliest."""
-    n = len(t)
+    n, before, score = len(t), np.searchsorted(t, t - dead, "right").tolist(), score.tolist()
     best: list[tuple[int, float, int]] = [(0, 0.0, -1)]
     take: list[bool] = []
     for i in range(n):
-        j = int(np.searchsorted(t, t[i] - dead, "right"))
+        j = before[i]
         with_, without = (best[j][0] + 1, best[j][1] - score[i]), best[-1][:2]
         take.append(with_ > without)
         best.append((*(with_ if take[-1] else without), j))
@@ -60,11 +85,12 @@ def enforce_refractory(df: DataFrame, unit: str, t: str, score: str, row_id: str
     runs, names = runs.join(size, [unit, "run"]), df.columns
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([t, row_id])
-        return p[best_subset(p[t].to_numpy(), p[score].to_numpy(), dead)][names]
+    def run(p: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        at, v = p[t].to_numpy(), p[score].to_numpy()
+        keep = np.concatenate([best_subset(x, y, dead) for x, y in zip(np.split(at, starts[1:]), np.split(v, starts[1:]), strict=True)])
+        return p.loc[keep, names]
 
-    crowded = runs.where("_n > 1").drop("_n").groupBy(unit, "run").applyInPandas(run, fields)
+    crowded = by_group(runs.where("_n > 1").drop("_n"), [unit, "run"], [t, row_id], run, fields)
     return runs.where("_n = 1").select(*df.columns).unionByName(crowded)
 
 
