@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from wavemill.operators.kernels import by_group
 from wavemill.operators.order import numbered, written
 
 THRESHOLD, LEAST = 1.5, 10
@@ -116,22 +117,23 @@ def _tested(ranges: DataFrame, rows: DataFrame) -> DataFrame:
     """ranges (group, first, size, ..) with score, the places around the gap and the cut between them."""
     def places(frames):
         for p in frames:
-            for r in p.itertuples(index=False):
-                at = knot_places(int(r.size_)) + int(r.first_)
-                yield pd.DataFrame({"first": r.first_, "size": r.size_, "_at": at})
+            for i in range(0, len(p), 100):  # a range's knots are about the square root of its size
+                q = p[i : i + 100]
+                at = [knot_places(int(n)) + int(k) for n, k in zip(q["size_"], q["first_"], strict=True)]
+                many = [len(x) for x in at]
+                yield pd.DataFrame({"first": np.repeat(q["first_"].to_numpy(), many), "size": np.repeat(q["size_"].to_numpy(), many), "_at": np.concatenate(at)})
 
     small = ranges.select(F.col("first").alias("first_"), F.col("size").alias("size_"))
     knots = small.mapInPandas(places, "first long, size long, _at long").join(rows.select("_at", "_v"), "_at")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("_at")
-        v, at = p["_v"].to_numpy(), p["_at"].to_numpy()
-        score, gap = dip(v, at.copy())
-        some = gap >= 0
-        return pd.DataFrame({"first": [p["first"].iloc[0]], "score": [score], "low": [int(at[gap]) if some else None], "high": [int(at[gap + 1]) if some else None], "cut": [(v[gap] + v[gap + 1]) / 2 if some else None]})
+    def run(p: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out = []
+        for first, v, at in zip(p["first"].to_numpy()[starts], np.split(p["_v"].to_numpy(), starts[1:]), np.split(p["_at"].to_numpy(), starts[1:]), strict=True):
+            score, gap = dip(v, at.copy())
+            out.append((first, score, int(at[gap]), int(at[gap + 1]), (v[gap] + v[gap + 1]) / 2) if gap >= 0 else (first, score, None, None, None))
+        return pd.DataFrame(out, columns=["first", "score", "low", "high", "cut"]).astype({"low": "Int64", "high": "Int64", "cut": "Float64"})
 
-    # a range's knots are about the square root of its size
-    scores = knots.groupBy("first").applyInPandas(run, "first long, score double, low long, high long, cut double")
+    scores = by_group(knots, ["first"], ["_at"], run, "first long, score double, low long, high long, cut double")
     return ranges.join(scores, "first", "left")
 
 
