@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavemill.operators import density as D
 
@@ -97,3 +98,42 @@ def test_odd_points(spark):
     got = {r.id: (r.cluster, r.strength) for r in D.cluster(df, "id", ["x", "y"], reach=1.0, samples=5, least=10).collect()}
     assert got == {i: (0, 1.0) for i in range(30)} | {42: (None, 0.0)}
     assert D.cluster(df.limit(0), "id", ["x", "y"], reach=1.0).collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_equal_weights_part_at_once(spark, seed):
+    rng = np.random.default_rng(seed)
+    v = np.argwhere(rng.random((20, 20)) < 0.45).astype(float)  # the order of equal edges decided
+    v = np.concatenate([v, v[::7], v[::11]])[rng.permutation(len(v) + len(v[::7]) + len(v[::11]))]
+    df = spark.createDataFrame([(i + (1 << 60), float(x), float(y)) for i, (x, y) in enumerate(v)], "id long, n double, radius double")
+    got = {r.id - (1 << 60): r.cluster for r in D.cluster(df, "id", ["n", "radius"], reach=3.0, samples=4, least=7, block=40).collect()}
+    assert got == {i: None if c is None else c + (1 << 60) for i, c in enumerate(brute(v, 4, 7, 3.0))}
+
+
+@pytest.mark.parametrize("axes", [1, 3])
+def test_forest_on_other_axes(spark, axes):
+    rng = np.random.default_rng(axes)
+    v = np.concatenate([rng.normal(0, 1, (90, axes)), rng.normal(6, 0.5, (60, axes)), np.argwhere(np.ones((4,) * axes)) + 12.0])
+    xs = ["x", "y", "z"][:axes]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(v)], "id long, " + ", ".join(f"{x} double" for x in xs))
+    m = mutual(v, 4, 9.0)
+    whole = sorted((a, b) for a, b, _ in D.spanning_edges(m, 9.0))
+    for left in (0, 1000):  # edges that the last group may hold
+        forest = D.mutual_forest(D.core_distances(df, xs, 9.0, 4, 20), xs, 9.0, 20, left).collect()
+        assert sorted((r.a, r.b) for r in forest) == whole
+
+
+def test_work_grows_with_the_points(spark):
+    """Rows that tasks read and write: all points lie within reach of each other."""
+    sizes = []
+    for n in (2000, 8000):
+        v = np.random.default_rng(n).normal(0, 1, (n, 2))
+        df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(v)], "id long, x double, y double")
+        places, _ = D._places(df, ["x", "y"])
+        cuts = D._cuts(places, ["x", "y"], 128)
+        cores = D._cores(places, ["x", "y"], 20.0, 10, cuts)
+        sights = D._sights(cores, ["x", "y"], 20.0, cuts)
+        rims = D._rims(cores, ["x", "y"], 20.0, sights).count()
+        visits = D._dealt(cores.select(F.col("home").alias("id"), "x", "y", F.col("seen").alias("radius")), ["x", "y"], cuts).count()
+        sizes.append((visits, sights.count(), rims))
+        assert visits < 6 * n and sizes[-1][1] < 24 * n and rims < n / 4, sizes
