@@ -103,7 +103,7 @@ def test_odd_points(spark):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_equal_weights_part_at_once(spark, seed):
     rng = np.random.default_rng(seed)
-    v = np.argwhere(rng.random((20, 20)) < 0.45).astype(float)  # the order of equal edges decided
+    v = np.argwhere(rng.random((20, 20)) < 0.45).astype(float)  # nearly all edges are equal
     v = np.concatenate([v, v[::7], v[::11]])[rng.permutation(len(v) + len(v[::7]) + len(v[::11]))]
     df = spark.createDataFrame([(i + (1 << 60), float(x), float(y)) for i, (x, y) in enumerate(v)], "id long, n double, radius double")
     got = {r.id - (1 << 60): r.cluster for r in D.cluster(df, "id", ["n", "radius"], reach=3.0, samples=4, least=7, block=40).collect()}
@@ -123,6 +123,14 @@ def test_forest_on_other_axes(spark, axes):
         assert sorted((r.a, r.b) for r in forest) == whole
 
 
+def test_places_without_end(spark):
+    rows = [(i, float(i % 4), float(i // 4)) for i in range(16)] + [(20, float("inf"), 0.0), (21, 1.0, -float("inf")), (22, 900.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    for reach in (5.0, float("inf")):
+        got = {r.id: r.cluster for r in D.cluster(df, "id", ["x", "y"], reach=reach, samples=2, least=5, block=4).collect()}
+        assert got == {i: 0 for i in range(16)} | {20: None, 21: None, 22: 0 if reach > 5 else None}
+
+
 def test_work_grows_with_the_points(spark):
     """Rows that tasks read and write: all points lie within reach of each other."""
     sizes = []

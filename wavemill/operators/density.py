@@ -101,17 +101,21 @@ def core_distances(points: DataFrame, xs: list[str], reach: float, k: int, block
     Points that share an id or lack one or a place are left out but for one.
     """
     places, members = _places(points, xs)
-    return members.join(_cores(places, xs, reach, k, _cuts(places, xs, block)), "home").select("id", *xs, "core", "seen")
+    cores = _cores(places, xs, reach, k, _cuts(places, xs, block)).select("home", "core", "seen")
+    return members.join(cores, "home", "left").select("id", *xs, "core", "seen")
 
 
 def _places(points: DataFrame, xs: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(home, xs.., n), a row per place with its least id and number of points, and (id, home)."""
+    """(home, xs.., n), a row per finite place with its least id and number of points, and (id, xs.., home)."""
     given = points.select("id", *[F.col(x).cast("double").alias(x) for x in xs])
     for c in ("id", *xs):
         given = given.where(F.col(c).isNotNull() & (F.lit(True) if c == "id" else ~F.isnan(c)))
     pts = written(given.groupBy("id").agg(F.min(F.struct(*xs)).alias("_x")).select("id", "_x.*"), "points")
     places = written(pts.groupBy(*xs).agg(F.min("id").alias("home"), F.count(F.lit(1)).alias("n")), "places")
-    return places, pts.join(places.drop("n"), xs).select("id", "home")
+    finite = places
+    for x in xs:
+        finite = finite.where(F.abs(x) < float("inf"))
+    return finite, pts.join(places.drop("n"), xs).select("id", *xs, "home")
 
 
 def _cores(places: DataFrame, xs: list[str], reach: float, k: int, cuts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -136,8 +140,9 @@ def _cores(places: DataFrame, xs: list[str], reach: float, k: int, cuts: tuple[n
                 d = np.take_along_axis(d, few, 1)
                 if d.shape[1] == k:
                     radius[at] = np.minimum(d.max(axis=1), reach)
-                far += [r[r <= reach] for r in d]
-                counts += [many[j[r <= reach]] for j, r in zip(few, d, strict=True)]
+                fit = (d <= reach) & np.isfinite(d)
+                far += [r[t] for r, t in zip(d, fit, strict=True)]
+                counts += [many[j[t]] for j, t in zip(few, fit, strict=True)]
             out = asks[["id", *xs, "n"]].assign(radius=radius)
             out["far"], out["many"] = pd.Series(far, out.index, object), pd.Series(counts, out.index, object)
             return out
@@ -208,7 +213,7 @@ def _sights(places: DataFrame, xs: list[str], reach: float, cuts: tuple[np.ndarr
 
 def _rims(places: DataFrame, xs: list[str], reach: float, sights: DataFrame) -> DataFrame:
     """(a, b, w, ga, gb): candidates that neither end sees, the nearest in an open cone of both."""
-    axes, cones = len(xs), _cones(len(xs))
+    axes, cones, within = len(xs), _cones(len(xs)), F.lit(float(reach))
     open_ = F.bit_or("closed").bitwiseXOR(F.lit((1 << cones) - 1))
     masks = sights.where("closed >= 0").groupBy(F.col("a").alias("home")).agg(open_.alias("open"), F.first("ga").alias("g")).where("open <> 0")
     rims = written(places.where(F.col("seen") < reach).join(masks, "home").select(F.col("home").alias("id"), *xs, F.col("seen").alias("r"), "open", "g"), "rims")
@@ -223,15 +228,15 @@ def _rims(places: DataFrame, xs: list[str], reach: float, sights: DataFrame) ->
             ends = [e for i in range(axes) for e in (F.min(f"{s}{i}").alias(f"{s}min{i}"), F.max(f"{s}{i}").alias(f"{s}max{i}"))]
             sides.append((side, side.groupBy(f"g{s}").agg(*ends)))
         (a, boxes), (b, others) = sides
-        near = boxes.join(F.broadcast(others), F.expr(f"bmax{f} >= amin{f} AND bmin{f} - amax{f} <= {reach!r}"))  # a row per leaf
+        near = boxes.join(F.broadcast(others), F.expr(f"bmax{f} >= amin{f}") & (F.expr(f"bmin{f} - amax{f}") <= within))  # a row per leaf
         for i in set(range(axes)) - {f}:
             gap = f"greatest(amin{i} - bmax{i}, bmin{i} - amax{i})"
-            near = near.where(f"{gap} <= {reach!r} AND {gap} <= (bmax{f} - amin{f}) * (1 + 1e-9)")
+            near = near.where((F.expr(gap) <= within) & F.expr(f"{gap} <= (bmax{f} - amin{f}) * (1 + 1e-9)"))
         met = near.select("ga", "gb").join(a, "ga").join(b, "gb")
         for i in range(axes):
             met = met.withColumn(f"d{i}", F.col(f"b{i}") - F.col(f"a{i}"))
         met = met.where(" AND ".join([f"d{f} > 0", *[f"d{f} {'>' if i < f else '>='} abs(d{i})" for i in range(axes) if i != f]]))
-        met = met.withColumn("w", F.expr(f"sqrt({' + '.join(f'd{i} * d{i}' for i in range(axes))})")).where(f"w <= {reach!r} AND w > ra AND w > rb")
+        met = met.withColumn("w", F.expr(f"sqrt({' + '.join(f'd{i} * d{i}' for i in range(axes))})")).where((F.col("w") <= within) & F.expr("w > ra AND w > rb"))
         for s, sign in (("a", ">="), ("b", "<=")):
             met = met.withColumn(f"c{s}", F.expr(" + ".join([str(f << axes), *[f"if(d{i} {sign} 0, {1 << i}, 0)" for i in range(axes)]]))).where(bit(f"o{s}", f"c{s}"))
         met = met.select("a", "b", "w", "ga", "gb", "ca", "cb")
