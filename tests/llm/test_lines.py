@@ -189,3 +189,23 @@ def test_a_large_group_of_near_lines_makes_few_links(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert L.dedup_lines(df).where("n_removed = 0").count() == 1
     assert sum(counts.values()) <= 8 * len(rows)
+
+
+@pytest.mark.parametrize("words", [8, 9, 12, 20, 43])
+def test_three_changed_letters_leave_a_block_alone(spark, words):
+    """Letters changed, added or taken away in three words, the first, the last and one of an inner quarter: the other inner quarter is the same."""
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(rng.randint(5, 9)))
+    pairs = []
+    for _ in range(40):
+        a = [word() for _ in range(words)]
+        b = list(a)
+        inner = words // 4
+        for at in [0, words - 1, rng.choice([*range(inner, words // 2)] if len(pairs) % 2 else [*range(words // 2, words // 2 + inner)])]:
+            i = rng.randrange(1, len(b[at]))
+            b[at] = b[at][:i] + rng.choice(["", "x", "yz"]) + b[at][i + 1 :]
+        pairs.append((" ".join(a), " ".join(b)))
+    near = [(a, b) for a, b in pairs if a != b and edit(a, b) <= max(len(a), len(b)) * 15 // 100]
+    df = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(near) for j, x in enumerate(p)], "doc_id long, text string")
+    assert len(near) >= 20
+    assert sorted(r.doc_id for r in L.dedup_lines(df).where("n_removed = 1").collect()) == [2 * i + 1 for i in range(len(near))]
